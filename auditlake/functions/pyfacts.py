@@ -10,21 +10,19 @@ import warnings
 
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-FACTS_TYPE = (
-    "array<struct<kind:string,line:int,end_line:int,name:string,"
-    "mutable_defaults:int,walk_ordinal:int,text:string>>"
-)
-_ARROW_FACTS = pa.list_(
-    pa.struct(
+FACTS_TYPE = T.ArrayType(
+    T.StructType(
         [
-            ("kind", pa.string()),
-            ("line", pa.int32()),
-            ("end_line", pa.int32()),
-            ("name", pa.string()),
-            ("mutable_defaults", pa.int32()),
-            ("walk_ordinal", pa.int32()),
-            ("text", pa.string()),
+            T.StructField("kind", T.StringType()),
+            T.StructField("line", T.IntegerType()),
+            T.StructField("end_line", T.IntegerType()),
+            T.StructField("name", T.StringType()),
+            T.StructField("mutable_defaults", T.IntegerType()),
+            T.StructField("walk_ordinal", T.IntegerType()),
+            T.StructField("text", T.StringType()),
         ]
     )
 )
@@ -63,4 +61,4 @@ def facts_of(source: str) -> list[dict]:
 @F.arrow_udf(FACTS_TYPE)
 def python_facts(content: pa.Array) -> pa.Array:
     facts = [None if source is None else facts_of(source) for source in content.to_pylist()]
-    return pa.array(facts, type=_ARROW_FACTS)
+    return pa.array(facts, type=to_arrow_type(FACTS_TYPE))

@@ -133,6 +133,13 @@ LINE_RULES = [
     ),
 ]
 
+RULE_LANGUAGE = {
+    "bare_except": "python",
+    "mutable_default": "python",
+    "long_function": "python",
+    **{rule.name: rule.language for rule in LINE_RULES},
+}
+
 
 def language_of(ext: Column) -> Column:
     return reduce(

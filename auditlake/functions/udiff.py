@@ -6,6 +6,7 @@ import difflib
 
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def diff_text(before: str, after: str, path: str) -> str:
@@ -19,7 +20,7 @@ def diff_text(before: str, after: str, path: str) -> str:
     )
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def unified_diff(before: pa.Array, after: pa.Array, path: pa.Array) -> pa.Array:
     rows = zip(before.to_pylist(), after.to_pylist(), path.to_pylist())
     return pa.array([None if None in row else diff_text(*row) for row in rows], type=pa.string())

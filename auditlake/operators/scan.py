@@ -62,8 +62,11 @@ def findings(scanned: DataFrame, *carry: str) -> DataFrame:
 
 
 def findings_of(sources: DataFrame, rule: str) -> DataFrame:
-    """The findings of one rule."""
-    return findings(scan_files(sources)).filter(F.col("rule") == rule)
+    """The findings of one rule; files of other languages are dropped before any work."""
+    language = rules.RULE_LANGUAGE[rule]
+    return findings(scan_files(sources.filter(F.col("language") == language))).filter(
+        F.col("rule") == rule
+    )
 
 
 def scan_summary(scanned: DataFrame) -> DataFrame:
