@@ -4,10 +4,12 @@ The order inside one file is part of the meaning, so a file's plans are walked
 by one task.  That walk is kept to what must be sequential: it streams over
 sorted rows, holds one content at a time however many plans a file has, and
 writes a small edit record per plan (how much of the text is kept at both ends
-and what stands between), with the full text only at the head of every
-``SEGMENT`` versions.  What costs more - contents of all versions, hashes,
-diffs - is replayed afterwards per (file, segment), so the versions of one much
-edited file are spread over the cluster.
+and what stands between), with the full text only at the head of a segment of
+versions.  What costs more - contents of all versions, hashes, diffs - is
+replayed afterwards per (file, segment), so the versions of one much edited
+file are spread over the cluster.  Segments double in length after every
+``SPREAD`` of them: full texts in the log grow with the logarithm of a file's
+edits, not with their number.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ from auditlake.functions.edits import INLINE_FIX, RENAME, RESTRUCTURE, STRATEGIE
 from auditlake.functions.udiff import diff_text
 from auditlake.session import worker_partitions
 
+# Versions in each of a file's first SPREAD segments.
 SEGMENT = 64
+SPREAD = 64
 # A worker hands on its rows once they hold about this many characters.
 FLUSH_CHARS = 4_000_000
 FLUSH_ROWS = 2_000
@@ -148,14 +152,18 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield from batch.slice(start, 64).to_pylist()
 
 
-def _walker(run_tests: bool, auto_rollback: bool, segment: int):
+def _walker(run_tests: bool, auto_rollback: bool, segment_size: int):
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Out(_LOG_ARROW)
-        file, text, previous, version = None, None, None, 0
+        file, text, previous, version, segment, room = None, None, None, 0, -1, 0
 
         def record(row: dict, step: str, change: Change, **verdict) -> str:
-            nonlocal previous, version
-            head = version % segment == 0
+            nonlocal previous, version, segment, room
+            head = room == 0
+            if head:
+                segment += 1
+                room = segment_size << (segment // SPREAD)
+            room -= 1
             out.add(
                 repo=row["repo"],
                 path=row["path"],
@@ -163,7 +171,7 @@ def _walker(run_tests: bool, auto_rollback: bool, segment: int):
                 plan_key=row["plan_key"],
                 step=step,
                 version=version + 1,
-                segment=version // segment,
+                segment=segment,
                 base=text if head else None,
                 keep_head=change.keep_head,
                 keep_tail=change.keep_tail,
@@ -190,7 +198,8 @@ def _walker(run_tests: bool, auto_rollback: bool, segment: int):
         for row in _rows(batches):
             if (row["repo"], row["path"]) != file:
                 close()
-                file, text, previous, version = (row["repo"], row["path"]), None, None, 0
+                file = (row["repo"], row["path"])
+                text, previous, version, segment, room = None, None, 0, -1, 0
             if row["is_file"]:
                 text = row["content"]
                 continue
@@ -264,7 +273,7 @@ def edit_log(
     verdicts: DataFrame | None = None,
     run_tests: bool = True,
     auto_rollback: bool = True,
-    segment: int = SEGMENT,
+    segment_size: int = SEGMENT,
 ) -> DataFrame:
     """Apply ``plans`` to ``files`` in ``seq`` order; one log row per edit made.
 
@@ -296,7 +305,7 @@ def edit_log(
     ordered = feed.repartition(
         worker_partitions(files.sparkSession), "repo", "path"
     ).sortWithinPartitions("repo", "path", F.desc("is_file"), "seq", "plan_key")
-    return ordered.mapInArrow(_walker(run_tests, auto_rollback, segment), LOG_SCHEMA)
+    return ordered.mapInArrow(_walker(run_tests, auto_rollback, segment_size), LOG_SCHEMA)
 
 
 def _replayer(schema: pa.Schema, emit):

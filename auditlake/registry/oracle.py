@@ -327,7 +327,7 @@ def _run_report(budget: int | None) -> str:
     return f"""{REPAIR_FOLD},
 runs AS (
   SELECT s.repo, s.files_scanned, s.findings, s.tokens, {tripped} AS tripped,
-    {tripped} OR s.findings = 0 AS early, coalesce(r.attempted, 0) AS attempted, coalesce(r.approved, 0) AS approved
+    {tripped} OR s.findings = 0 AS early, coalesce(r.attempted, 0) AS attempted, CAST(coalesce(r.approved, 0) AS BIGINT) AS approved
   FROM summary s LEFT JOIN (SELECT repo, count(*) AS attempted, count_if(approved) AS approved
     FROM reviewed GROUP BY repo) r USING (repo)),
 report AS (
