@@ -6,13 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from auditlake.functions.text import (
+    ANY,
     FOLD,
     NOT_AFTER_WORD,
     NOT_BEFORE_WORD,
     SP,
     WORD,
-    ANY,
-    is_blank,
     lines,
     strip,
 )
@@ -75,22 +74,29 @@ COMMENT_TYPE = (
 
 
 def added_rule(text: Column) -> Column:
-    """The first check an added line fails, or NULL."""
+    """The first check an added line fails, or NULL.
+
+    Most lines fail none, so each pattern stands behind a cheaper test that
+    every match also passes: a quoted value after ``=`` or ``:``, the letters
+    of the word, the call itself.
+    """
+    quoted = text.rlike(f"[=:]{SP}*[\"']")
     credential = (
         FOLD + f"(?:token|password|secret|api_key|apikey){SP}*[=:]{SP}*[\"']{ANY}+[\"']"
     )
+    todo = FOLD + NOT_AFTER_WORD + "TODO" + NOT_BEFORE_WORD
     return (
-        F.when(text.rlike(credential), F.lit("credential"))
-        .when(text.rlike(FOLD + NOT_AFTER_WORD + "TODO" + NOT_BEFORE_WORD), F.lit("todo"))
+        F.when(quoted & text.rlike(credential), F.lit("credential"))
+        .when(F.contains(F.lower(text), F.lit("todo")) & text.rlike(todo), F.lit("todo"))
         .when(F.length(text) > LINE_LIMIT, F.lit("long_line"))
-        .when(text.rlike(rf"^{SP}*print\("), F.lit("print_call"))
+        .when(F.contains(text, F.lit("print(")) & text.rlike(rf"^{SP}*print\("), F.lit("print_call"))
     )
 
 
 def removed_rule(text: Column) -> Column:
     handling = f"try{SP}*:|except{SP}+{WORD}+{SP}*:|raise{SP}+{WORD}"
     return F.when(text.rlike(handling), F.lit("removed_handling")).when(
-        text.rlike(f"->{SP}*{WORD}"), F.lit("removed_annotation")
+        F.contains(text, F.lit("->")) & text.rlike(f"->{SP}*{WORD}"), F.lit("removed_annotation")
     )
 
 
@@ -98,14 +104,22 @@ def line_rule(sign: Column, text: Column) -> Column:
     return F.when(sign == "+", added_rule(text)).when(sign == "-", removed_rule(text))
 
 
-def sections(diff: Column) -> Column:
+def diff_rows(diff: Column) -> Column:
+    """``array<struct<pos, text>>`` of the diff's lines."""
+    return F.transform(lines(diff), lambda t, i: F.struct(i.alias("pos"), t.alias("text")))
+
+
+def file_headers(rows: Column) -> Column:
+    return F.filter(rows, lambda r: F.startswith(r["text"], F.lit("--- ")))
+
+
+def sections(rows: Column, heads: Column) -> Column:
     """``array<struct<file, body array<struct<pos, text>>>>``: one entry per file header.
 
-    Lines before the first header belong to no section.  Slicing by header
-    position keeps the work linear in the diff and inside its row.
+    Lines before the first header belong to no section.  ``rows`` and ``heads``
+    must be columns, not expressions: they are read for every section, and
+    slicing by header position is linear in the diff only if they exist already.
     """
-    rows = F.transform(lines(diff), lambda t, i: F.struct(i.alias("pos"), t.alias("text")))
-    heads = F.filter(rows, lambda r: F.startswith(r["text"], F.lit("--- ")))
 
     def section(head: Column, k: Column) -> Column:
         stop = F.coalesce(F.get(heads, k + 1)["pos"], F.size(rows))
@@ -227,10 +241,6 @@ def summary(points: Column, approved: Column, severities: Column) -> Column:
     )
 
 
-def blank_diff(diff: Column) -> Column:
-    return is_blank(diff)
-
-
 def body(
     approved: Column,
     points: Column,

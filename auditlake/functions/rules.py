@@ -97,7 +97,10 @@ HITS_TYPE = f"array<{HIT_TYPE}>"
 
 @dataclass(frozen=True)
 class LineRule:
-    """``needle`` must occur in any file the predicate can match; it spares the others the split."""
+    """``needle`` occurs in every line the predicate matches.
+
+    Files without it are not split, lines without it never reach the pattern.
+    """
 
     name: str
     language: str
@@ -121,7 +124,7 @@ LINE_RULES = [
         "js_console",
         "javascript",
         "console.log",
-        lambda t: F.contains(t, F.lit("console.log")) & ~t.rlike(f"^{SP}*//"),
+        lambda t: ~t.rlike(f"^{SP}*//"),
         False,
     ),
     LineRule(
@@ -162,7 +165,10 @@ def _no_hits() -> Column:
 
 
 def _line_hits(rule: LineRule, content: Column, numbered: Column) -> Column:
-    found = F.filter(numbered, lambda row: rule.matches(row["text"]))
+    needle = F.lit(rule.needle)
+    found = F.filter(
+        numbered, lambda row: F.contains(row["text"], needle) & rule.matches(row["text"])
+    )
     if rule.first_only:
         found = F.slice(found, 1, 1)
     none = F.lit(None)
@@ -170,7 +176,7 @@ def _line_hits(rule: LineRule, content: Column, numbered: Column) -> Column:
         found,
         lambda row: _hit(row["line"], rule.name, row["text"], none.cast("string"), none.cast("int")),
     )
-    return F.when(F.contains(content, F.lit(rule.needle)), hits).otherwise(_no_hits())
+    return F.when(F.contains(content, needle), hits).otherwise(_no_hits())
 
 
 def needs_lines(language: Column, content: Column) -> Column:

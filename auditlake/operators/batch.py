@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from auditlake.functions.edits import INLINE_FIX, RENAME, RESTRUCTURE, STRATEGIES
 from auditlake.functions.udiff import diff_text
 from auditlake.session import worker_partitions
+from auditlake.sources.tables import fetch
 
 # Versions in each of a file's first SPREAD segments.
 SEGMENT = 64
@@ -294,7 +295,7 @@ def edit_log(
     )
     if verdicts is not None and run_tests:
         judged = judged.join(verdicts.select("plan_key", "passed", "output"), "plan_key", "left")
-    planned = files.join(plans.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
+    planned = fetch(files, plans)
     feed = (
         planned.select("repo", "path", "content", F.lit(True).alias("is_file"))
         .unionByName(judged.withColumn("is_file", F.lit(False)), allowMissingColumns=True)

@@ -6,17 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions import review as R
+from auditlake.functions.text import is_blank
+
+
+def _with_lines(diffs: DataFrame, *carry: str | Column) -> DataFrame:
+    """``diff_id``, the carried columns and ``changed``: the diff's section lines.
+
+    Three selects on purpose: rows and headers become columns that the next
+    step reads many times.
+    """
+    kept = diffs.select("diff_id", *carry, R.diff_rows(F.col("diff")).alias("rows"))
+    headed = kept.withColumn("heads", R.file_headers(F.col("rows")))
+    parts = R.sections(F.col("rows"), F.col("heads"))
+    return headed.withColumn("changed", R.section_lines(parts)).drop("rows", "heads")
 
 
 def diff_lines(diffs: DataFrame) -> DataFrame:
     """``diffs(diff_id, diff)`` to one row per line that belongs to a file section."""
-    return diffs.select("diff_id", F.inline(R.section_lines(R.sections(F.col("diff")))))
+    rows = _with_lines(diffs).select("diff_id", F.inline_outer("changed"))
+    return rows.filter(F.col("pos").isNotNull())
 
 
 def line_comments(diffs: DataFrame, rule: str | None = None) -> DataFrame:
     """One row per comment; with ``rule`` only that rule's."""
-    changed = R.section_lines(R.sections(F.col("diff")))
-    found = diffs.select("diff_id", F.inline(R.comments(changed)))
+    noted = _with_lines(diffs).select("diff_id", R.comments(F.col("changed")).alias("comments"))
+    found = noted.select("diff_id", F.inline_outer("comments")).filter(F.col("pos").isNotNull())
     return found if rule is None else found.filter(F.col("rule") == rule)
 
 
@@ -31,12 +45,9 @@ def added_text_comments(texts: DataFrame, *keys: str) -> DataFrame:
 
 def review_reports(diffs: DataFrame, *carry: str, approve_from: int = R.APPROVE_FROM) -> DataFrame:
     """One report per diff; a diff without a comment, or a blank one, keeps its row."""
-    blank = R.blank_diff(F.col("diff"))
-    noted = diffs.select(
-        "diff_id",
-        *carry,
-        blank.alias("blank"),
-        R.comments(R.section_lines(R.sections(F.col("diff")))).alias("comments"),
+    lined = _with_lines(diffs, *carry, is_blank(F.col("diff")).alias("blank"))
+    noted = lined.select(
+        "diff_id", *carry, "blank", R.comments(F.col("changed")).alias("comments")
     )
     severities = F.col("comments.severity")
     scored = noted.withColumn("score", R.score(severities))

@@ -41,16 +41,21 @@ def scan_files(sources: DataFrame, *carry: str) -> DataFrame:
 def syntax_facts(sources: DataFrame) -> DataFrame:
     """All syntax facts of the Python files, quarantined files included."""
     python = sources.filter(F.col("language") == "python")
-    return python.select("repo", "path", python_facts("content").alias("facts")).select(
-        "repo", "path", F.inline("facts")
-    )
+    facts = python.select("repo", "path", python_facts("content").alias("facts"))
+    return facts.select("repo", "path", F.inline_outer("facts")).filter(F.col("kind").isNotNull())
 
 
 def findings(scanned: DataFrame, *carry: str) -> DataFrame:
-    """One row per finding; ``ordinal`` is its position in the file's report."""
-    return scanned.select(
-        "repo", "path", *carry, F.posexplode("hits").alias("ordinal", "hit")
-    ).select(
+    """One row per finding; ``ordinal`` is its position in the file's report.
+
+    The outer explode is deliberate: for an inner one the optimizer adds a
+    filter on the array's size and pushes it below the scan, which would then
+    be evaluated twice, Python workers included.
+    """
+    exploded = scanned.select(
+        "repo", "path", *carry, F.posexplode_outer("hits").alias("ordinal", "hit")
+    )
+    return exploded.filter(F.col("ordinal").isNotNull()).select(
         "repo",
         "path",
         *carry,

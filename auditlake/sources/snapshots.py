@@ -1,7 +1,7 @@
 """Which files a run visits: all, those changed since a base snapshot, or a given list.
 
-Decisions are taken on keys and hashes alone.  Contents are fetched by one
-semi-join at the end, and never meet the change computation.
+Decisions are taken on keys and hashes alone.  Contents are fetched at the end,
+and never meet the change computation.
 """
 
 from __future__ import annotations
@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.operators.inventory import in_excluded_dir
+from auditlake.sources.tables import KEY, fetch
 
-KEY = ["repo", "path"]
 # A repo may hold a third of all files: per-repo facts meet its files under this many salts.
 SALTS = 32
 
@@ -40,10 +40,6 @@ def _with_repo_flag(keys: DataFrame, repos: DataFrame) -> DataFrame:
     return salted.join(spread, ["repo", "salt"], "left").drop("salt")
 
 
-def _fetch(files: DataFrame, keys: DataFrame) -> DataFrame:
-    return files.join(keys.select(*KEY), KEY, "left_semi")
-
-
 def full_scan_set(files: DataFrame) -> DataFrame:
     return files.filter(~in_excluded_dir(F.col("path")))
 
@@ -63,7 +59,7 @@ def incremental_scan_set(current: DataFrame, base: DataFrame) -> DataFrame:
     )
     present = changed.filter(F.col("status") != "deleted")
     keys = _with_repo_flag(present, repos)
-    return _fetch(current, keys.filter(_visited(F.col("status") != "same")))
+    return fetch(current, keys.filter(_visited(F.col("status") != "same")))
 
 
 def _visited(wanted: Column) -> Column:
@@ -80,4 +76,4 @@ def listed_scan_set(files: DataFrame, paths: DataFrame) -> DataFrame:
     listed = paths.select(*KEY).distinct().withColumn("listed", F.lit(True))
     repos = paths.select("repo").distinct().withColumn("partial", F.lit(True))
     keys = _with_repo_flag(files.select(*KEY).join(listed, KEY, "left"), repos)
-    return _fetch(files, keys.filter(_visited(F.coalesce("listed", F.lit(False)))))
+    return fetch(files, keys.filter(_visited(F.coalesce("listed", F.lit(False)))))
