@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from urllib.parse import urlparse
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions.rules import LANGUAGES
 from auditlake.functions.text import decode
 
 
-def relative_path(path, root: str):
-    """The path below ``root``; the scheme Spark puts in front of listed paths is ignored."""
-    bare = root.rstrip("/") + "/"
-    bare = bare[bare.index(":") + 1 :] if ":" in bare.split("/", 1)[0] else bare
-    at = F.instr(path, F.lit(bare))
-    return F.substring(path, at + F.lit(len(bare)), F.length(path))
+def relative_path(path: Column, root: str) -> Column:
+    """The path below ``root``; scheme and host are ignored on both sides."""
+    below = urlparse(root).path.rstrip("/") + "/"
+    bare = F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "")
+    at = F.lit(1) if below.startswith("/") else F.instr(bare, "/" + below) + 1
+    return F.substring(bare, at + len(below), F.length(bare))
 
 
 def load_tree(
