@@ -65,3 +65,16 @@ def line_count(content: Column) -> Column:
 def token_estimate(content: Column) -> Column:
     """Four characters a token, rounded down per file."""
     return F.floor(F.length(content) / 4).cast("bigint")
+
+
+def one_decimal(number: Column) -> Column:
+    """A non-negative double with one decimal, rounded like Python's ``.1f``.
+
+    Python rounds the exact binary value, ties to even.  ``20 * number`` is
+    therefore compared with an odd integer in two subtractions that are exact.
+    """
+    low = F.floor(number * 10)
+    side = (number * 16 - (low * 2 + 1)) + number * 4
+    up = (side > 0) | ((side == 0) & (low % 2 == 1))
+    tenths = low + up.cast("int")
+    return F.concat((F.floor(tenths / 10)).cast("string"), F.lit("."), (tenths % 10).cast("string"))

@@ -39,6 +39,10 @@ LINTER_MARKERS = [
     ("golangci-lint", [".golangci.yml"]),
 ]
 
+# What is reported where nothing can be run; such a repo passes.
+NO_RUNNER = "No test runner config found — skipping verification (safe fallback)."
+NO_LINTER = "No linter config found — skipping lint."
+
 
 def in_excluded_dir(path: Column) -> Column:
     """Only directories count: a file may carry an excluded name."""
@@ -54,6 +58,9 @@ def with_language(files: DataFrame) -> DataFrame:
 def source_files(files: DataFrame, prune: bool = True, max_bytes: int | None = None) -> DataFrame:
     """The files a scan visits: a supported extension, outside the excluded directories."""
     kept = files.filter(extension(F.col("path")).isin(*LANGUAGES))
+    if "content" in files.columns:
+        # What could not be read is skipped, and not counted.
+        kept = kept.filter(F.col("content").isNotNull())
     if prune:
         kept = kept.filter(~in_excluded_dir(F.col("path")))
     if max_bytes is not None:
@@ -80,7 +87,7 @@ def file_metrics(files: DataFrame, *keys: str) -> DataFrame:
 
 
 def test_runners(files: DataFrame) -> DataFrame:
-    """``files(repo, path)`` to one row per repo; ``skip`` where no marker is found.
+    """``files(repo, path)`` to one row per repo; ``skip`` and a message where no marker is found.
 
     One aggregate over the whole inventory keeps repos without markers without a
     join, and partial aggregation takes care of repos of any size.
@@ -91,10 +98,11 @@ def test_runners(files: DataFrame) -> DataFrame:
         F,
     )
     runners = F.array(*[F.lit(runner) for _, runner in RUNNER_MARKERS])
-    return (
-        files.groupBy("repo")
-        .agg(F.min(ranks).alias("best"))
-        .select("repo", F.coalesce(F.get(runners, F.col("best")), F.lit("skip")).alias("runner"))
+    best = files.groupBy("repo").agg(F.min(ranks).alias("best"))
+    return best.select(
+        "repo",
+        F.coalesce(F.get(runners, F.col("best")), F.lit("skip")).alias("runner"),
+        F.when(F.col("best").isNull(), F.lit(NO_RUNNER)).alias("message"),
     )
 
 
@@ -104,4 +112,5 @@ def linters(files: DataFrame) -> DataFrame:
         F.when(F.bool_or(F.col("path").isin(*markers)), F.lit(name))
         for name, markers in sorted(LINTER_MARKERS)
     ]
-    return files.groupBy("repo").agg(F.array_compact(F.array(*flags)).alias("linters"))
+    found = files.groupBy("repo").agg(F.array_compact(F.array(*flags)).alias("linters"))
+    return found.withColumn("message", F.when(F.size("linters") == 0, F.lit(NO_LINTER)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.functions.text import one_decimal
 from auditlake.operators.scan import CLEAN_MESSAGE, budget_message, over_budget, scan_summary
 
 
@@ -43,9 +44,9 @@ def run_report(
         .alias("early_message"),
     )
     text = F.format_string(
-        f"{title}\n  Duration: %.1fs\n  Files scanned: %d\n  Findings: %d\n"
+        f"{title}\n  Duration: %ss\n  Files scanned: %d\n  Findings: %d\n"
         "  Refactors attempted: %d\n  Approved: %d\n  Tokens consumed: %s\n  Status: ✅ All clear",
-        "duration_seconds",
+        one_decimal(F.col("duration_seconds")),
         "files_scanned",
         "findings",
         "refactors_attempted",

@@ -15,8 +15,15 @@ from auditlake.functions.pyfacts import python_facts
 from auditlake.functions.text import line_count, numbered, token_estimate
 
 
-def scan_files(sources: DataFrame, *carry: str) -> DataFrame:
-    """``sources(repo, path, language, content)`` to one scanned row per file."""
+def scan_files(sources: DataFrame, *carry: str, partitions: int | None = None) -> DataFrame:
+    """``sources(repo, path, language, content)`` to one scanned row per file.
+
+    Input splits are balanced by bytes, which suits most tables.  Where Python
+    files sit together, parsing makes their splits slow: ``partitions`` then
+    spreads the files by key first, at the price of moving them.
+    """
+    if partitions is not None:
+        sources = sources.repartition(partitions, "repo", "path")
     keys = ["repo", "path", "language", *carry]
     language, content = F.col("language"), F.col("content")
     with_facts = sources.select(

@@ -8,7 +8,13 @@ from __future__ import annotations
 
 from auditlake.functions import review as R
 from auditlake.functions import rules
-from auditlake.operators.inventory import EXCLUDED_DIRS, LINTER_MARKERS, RUNNER_MARKERS
+from auditlake.operators.inventory import (
+    EXCLUDED_DIRS,
+    LINTER_MARKERS,
+    NO_LINTER,
+    NO_RUNNER,
+    RUNNER_MARKERS,
+)
 from auditlake.registry import corpus
 from auditlake.registry.spark_queries import RUN_SECONDS, TOKEN_BUDGET
 
@@ -421,9 +427,11 @@ SELECT s.repo || '/' || s.path AS repo, count(f.rule) AS findings, count(f.rule)
   CASE WHEN count(f.rule) = 0 THEN 'No issues found. Codebase is clean.' END AS message
 FROM source_files s LEFT JOIN findings f USING (repo, path) GROUP BY s.repo, s.path""",
     "toolchain": f"""{MARKERS}
-SELECT repo, coalesce({RUNNER[0]}[min({RUNNER[1]})], 'skip') AS runner FROM markers GROUP BY repo""",
+SELECT repo, coalesce({RUNNER[0]}[min({RUNNER[1]})], 'skip') AS runner,
+  CASE WHEN min({RUNNER[1]}) IS NULL THEN {_text(NO_RUNNER)} END AS message FROM markers GROUP BY repo""",
     "linters": f"""{MARKERS}
-SELECT repo, coalesce(string_agg(DISTINCT linter, ',' ORDER BY linter), '') AS linters
+SELECT repo, coalesce(string_agg(DISTINCT linter, ',' ORDER BY linter), '') AS linters,
+  CASE WHEN count(linter) = 0 THEN {_text(NO_LINTER)} END AS message
 FROM (SELECT repo, {LINTER} AS linter FROM markers) GROUP BY repo""",
     "changed_files": f"WITH {FILES},\n{BASE},\n{CHANGES}\nSELECT * FROM changes",
     "incremental_findings": f"""WITH {FILES},

@@ -107,7 +107,7 @@ def toolchain(spark, sf_dir):
 
 def linters(spark, sf_dir):
     found = inventory.linters(corpus.marker_inventory(spark, sf_dir))
-    return found.select("repo", F.array_join("linters", ",").alias("linters"))
+    return found.select("repo", F.array_join("linters", ",").alias("linters"), "message")
 
 
 def changed_files(spark, sf_dir):

@@ -11,8 +11,6 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # File rows are large: small Arrow batches keep the Python workers' memory flat.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 

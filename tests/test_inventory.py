@@ -31,6 +31,8 @@ def test_runner_priority(spark):
     assert {r.repo: r.runner for r in found} == {
         "a": "pytest", "b": "npm", "c": "skip", "d": "skip", "e": "pytest", "f": "pytest", "g": "go",
     }
+    assert {r.repo for r in found if r.message} == {"c", "d"}
+    assert all("No test runner" in r.message for r in found if r.message)
 
 
 def test_linters(spark):
@@ -41,6 +43,7 @@ def test_linters(spark):
     assert {r.repo: list(r.linters) for r in found} == {
         "a": ["eslint", "flake8"], "b": ["golangci-lint"], "c": [],
     }
+    assert {r.repo: r.message for r in found}["c"] == "No linter config found — skipping lint."
 
 
 def test_load_tree(spark, tmp_path):

@@ -50,7 +50,7 @@ def test_run_report(files, spark):
     r = got["r"]
     # Two edits of a.py and the one that hits the comment in b.py; c.py's changes nothing.
     assert (r.files_scanned, r.findings, r.refactors_attempted, r.refactors_approved) == (3, 4, 4, 3)
-    assert r.summary.split("\n")[:2] == ["Audit Complete", "  Duration: 3.3s"]
+    assert r.summary.split("\n")[:2] == ["Audit Complete", "  Duration: 3.2s"]
     assert r.summary.split("\n")[-1] == "  Status: ✅ All clear"
 
 

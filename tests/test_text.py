@@ -82,3 +82,12 @@ def test_metrics(spark):
     texts = ["", "a", "a\n", "\n\n", "abcdefg", "é𝒳bc", "ab\u2028c\x0cd"]
     assert evaluate(spark, texts, "string", X.line_count) == [len(t.split("\n")) for t in texts]
     assert evaluate(spark, texts, "string", X.token_estimate) == [len(t) // 4 for t in texts]
+
+
+def test_one_decimal_equals_python(spark):
+    import random
+
+    rng = random.Random(5)
+    numbers = [0.0, 0.04, 0.05, 0.25, 0.75, 0.35, 0.45, 1.25, 2.75, 99.95, 1e6 + 0.25, 0.95, 12.5]
+    numbers += [rng.randint(0, 4000) / 20 for _ in range(500)] + [rng.random() * 300 for _ in range(500)]
+    assert evaluate(spark, numbers, "double", X.one_decimal) == [f"{n:.1f}" for n in numbers]
