@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.edits import INLINE_FIX, RENAME, RESTRUCTURE, STRATEGIES
 from auditlake.functions.udiff import diff_text
-from auditlake.session import worker_partitions
 from auditlake.sources.tables import fetch
 
 # Versions in each of a file's first SPREAD segments.
@@ -303,9 +302,9 @@ def edit_log(
     for name, kind in (("passed", "boolean"), ("output", "string")):
         if name not in feed.columns:
             feed = feed.withColumn(name, F.lit(None).cast(kind))
-    ordered = feed.repartition(
-        worker_partitions(files.sparkSession), "repo", "path"
-    ).sortWithinPartitions("repo", "path", F.desc("is_file"), "seq", "plan_key")
+    ordered = feed.repartition("repo", "path").sortWithinPartitions(
+        "repo", "path", F.desc("is_file"), "seq", "plan_key"
+    )
     return ordered.mapInArrow(_walker(run_tests, auto_rollback, segment_size), LOG_SCHEMA)
 
 
@@ -346,7 +345,7 @@ def _emit_outcome(out: _Out, row: dict, before: str | None, content: str | None)
 def _by_segment(log: DataFrame) -> DataFrame:
     return (
         log.filter(F.col("step") != "final")
-        .repartition(worker_partitions(log.sparkSession), "repo", "path", "segment")
+        .repartition("repo", "path", "segment")
         .sortWithinPartitions("repo", "path", "segment", "version")
     )
 

@@ -42,8 +42,3 @@ def written(df: DataFrame, label: str) -> DataFrame:
     where = fresh_dir(df.sparkSession, label)
     df.write.parquet(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
-
-
-def worker_partitions(spark: SparkSession) -> int:
-    """Partitions for CPU-heavy Python steps; explicit, so AQE does not merge them by bytes."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
