@@ -24,11 +24,11 @@ CHUNK = f"CAST(floor(event_id / {FILE_RANGE}) AS BIGINT)"
 
 BLOCK = f"""CASE
   WHEN {LANG} = 0 THEN CASE {KIND}
-    WHEN 0 THEN concat('try:', chr(10), '    f()', chr(10), 'except:', chr(10), '    pass')
+    WHEN 0 THEN concat('try:', chr(10), '    f', event_id, '()', chr(10), 'except:', chr(10), '    pass')
     WHEN 1 THEN concat('def f', event_id, '(a, b=[], c={{}}):', chr(10), '    return a')
     WHEN 2 THEN concat('def g', event_id, '(a=None):', chr(10), repeat(concat('    a = 1', chr(10)), CAST(event_id % 60 AS INT)), '    return a')
-    WHEN 3 THEN concat('try:', chr(10), '    f()', chr(10), 'except :', chr(10), '    pass')
-    WHEN 4 THEN concat('try:', chr(10), '    f()', chr(10), 'except ValueError:', chr(10), '    pass')
+    WHEN 3 THEN concat('try:', chr(10), '    f', event_id, '()', chr(10), 'except :', chr(10), '    pass')
+    WHEN 4 THEN concat('try:', chr(10), '    f', event_id, '()', chr(10), 'except ValueError:', chr(10), '    pass')
     WHEN 5 THEN '# except: in a comment'
     WHEN 6 THEN concat('async def h', event_id, '(a=[]):', chr(10), '    return a')
     ELSE concat('x = ', event_id) END
@@ -52,6 +52,7 @@ BLOCK = f"""CASE
     WHEN 2 THEN '_ = h.Error()'
     ELSE concat('ok(', event_id, ')') END END"""
 
+# Called names are distinct, so lines rarely repeat and a line diff has one reading.
 # In the base snapshot late events of most users were still plain statements,
 # some users' files lay in another directory, one repo has not changed since,
 # and one repo had another name (so it has no base).

@@ -257,8 +257,8 @@ DIFFS = f"""code_diffs AS (
   SELECT diff_id, {corpus.DIFF_TEXT} AS diff
   FROM (SELECT diff_id, string_agg(block, chr(10) ORDER BY event_id) AS text
     FROM (SELECT {corpus.DIFF_ID} AS diff_id, event_id, {corpus.DIFF_BLOCK} AS block FROM events)
-    GROUP BY diff_id)),
-raw_lines AS (
+    GROUP BY diff_id))"""
+DIFF_PARSE = """raw_lines AS (
   SELECT diff_id, unnest(string_split(diff, chr(10))) AS row_text,
     generate_subscripts(string_split(diff, chr(10)), 1) - 1 AS pos FROM code_diffs),
 headed AS (
@@ -320,12 +320,31 @@ reports AS (
       || CASE WHEN n_suggestion > 0 THEN ' |   suggestion: ' || n_suggestion ELSE '' END
       || CASE WHEN n_warning > 0 THEN ' |   warning: ' || n_warning ELSE '' END END AS summary
   FROM scored)"""
-REVIEW = f"WITH {DIFFS},\n{COMMENTS},\n{REPORTS}"
-
-# An edit that changes nothing, or was rolled back, has no diff to review.  The
-# diffs of repair plans touch except clauses only and draw no comment.
-REPAIR_FOLD = f"{FULL_SCAN},\n{REPAIR_PLANS},\n{_fold('repair_plans')},\n" + """reviewed AS (
-  SELECT repo, path, plan_key, before <> after AS approved FROM results)"""
+REVIEW = f"WITH {DIFFS},\n{DIFF_PARSE},\n{COMMENTS},\n{REPORTS}"
+
+# A repair plan changes one line, so its unified diff can be written down: up to
+# three lines around it, and no line end after the last line of these files.
+REPAIR_DIFFS = """changed AS (
+  SELECT *, list_filter(range(1, len(b) + 1), lambda j: b[j] <> a[j])[1] AS spot
+  FROM (SELECT repo, path, seq, plan_key, string_split(before, chr(10)) AS b, string_split(after, chr(10)) AS a
+    FROM results WHERE NOT missing AND before <> after)),
+spanned AS (
+  SELECT *, greatest(1, spot - 3) AS lo, least(len(b), spot + 3) AS hi FROM changed),
+repair_diffs AS (
+  SELECT repo, path, seq, plan_key, '--- ' || path || chr(10) || '+++ ' || path || chr(10)
+    || '@@ -' || span || ' +' || span || ' @@' || chr(10)
+    || array_to_string(list_transform(range(lo, hi + 1), lambda j:
+      CASE WHEN j = spot THEN '-' || b[j] || CASE WHEN j < len(b) THEN chr(10) ELSE '' END || '+' || a[j]
+        ELSE ' ' || b[j] END || CASE WHEN j < len(b) THEN chr(10) ELSE '' END), '') AS diff
+  FROM (SELECT *, CASE WHEN hi = lo THEN CAST(lo AS VARCHAR) ELSE lo || ',' || (hi - lo + 1) END AS span FROM spanned))"""
+# An edit that changes nothing, or was rolled back, has no diff to review.
+REPAIR_FOLD = (
+    f"{FULL_SCAN},\n{REPAIR_PLANS},\n{_fold('repair_plans')},\n{REPAIR_DIFFS},\n"
+    "code_diffs AS (SELECT plan_key AS diff_id, diff FROM repair_diffs),\n"
+    f"{DIFF_PARSE},\n{COMMENTS},\n{REPORTS},\n"
+    "reviewed AS (SELECT r.repo, r.path, r.plan_key, r.before <> r.after AS stands, coalesce(d.approved, false) AS approved "
+    "FROM results r LEFT JOIN reports d ON d.diff_id = r.plan_key)"
+)
 
 
 def _run_report(budget: int | None) -> str:
@@ -484,7 +503,7 @@ SELECT repo, path, seq, plan_key, NOT missing AND NOT unknown AS success,
 {_fold('event_plans', auto_rollback=False)}
 SELECT repo, path, seq, plan_key, NOT missing AND NOT unknown AND passed AS success, false AS rolled_back,
   {ERRORS.format(more="WHEN NOT passed THEN 'Tests failed: ' || substr(output, 1, 200)")} AS error FROM results""",
-    "diff_lines": f"WITH {DIFFS}\nSELECT * FROM diff_lines",
+    "diff_lines": f"WITH {DIFFS},\n{DIFF_PARSE}\nSELECT * FROM diff_lines",
     "added_credential": _check("credential"),
     "added_todo": _check("todo"),
     "added_long_line": _check("long_line"),
@@ -514,7 +533,12 @@ SELECT * FROM (SELECT kind, id, part, pos, {ADDED.format('line_text')} AS rule,
   FROM text_lines) WHERE rule IS NOT NULL""",
     "failed_reports": f"""{REPAIR_FOLD}
 SELECT repo, path, plan_key, false AS approved, 0 AS score, 'Refactoring failed: None' AS summary
-FROM reviewed WHERE NOT approved""",
+FROM reviewed WHERE NOT stands""",
+    "repair_diffs": f"""{REPAIR_FOLD}
+SELECT repo, path, seq, plan_key, diff FROM repair_diffs""",
+    "repair_reviews": f"""{REPAIR_FOLD}
+SELECT r.repo, r.path, r.plan_key, r.approved, d.score, d.summary
+FROM reviewed r JOIN reports d ON d.diff_id = r.plan_key""",
     "run_report": f"{_run_report(None)}\nSELECT {REPORT_COLUMNS} FROM report",
     "run_report_budget": f"{_run_report(TOKEN_BUDGET)}\nSELECT {REPORT_COLUMNS} FROM report",
     "run_report_json": f"""{_run_report(None)}

@@ -268,30 +268,45 @@ def text_line_checks(spark, sf_dir):
 
 
 def _repair_run(spark, sf_dir):
-    """Scan, plan, edit and review; what two consumers read is written once."""
+    """Scan, plan and edit; what two consumers read is written once."""
     scanned = written(_scanned(spark, sf_dir), "scanned")
     made = written(repair_plans(scan.findings(scanned)), "plans")
     # Only files that mention an except clause can have a repair plan.
     files = corpus.code_files(spark, sf_dir).filter(F.contains("content", F.lit("except")))
     log = batch.edit_log(files, made, corpus.verdicts_for(made))
-    return scanned, review.outcome_reports(batch.outcomes_with_diff(log))
+    return scanned, batch.outcomes_with_diff(log)
+
+
+def repair_diffs(spark, sf_dir):
+    """The diff of every repair plan that stands."""
+    _, done = _repair_run(spark, sf_dir)
+    return done.filter(F.col("diff") != "").select("repo", "path", "seq", "plan_key", "diff")
+
+
+def repair_reviews(spark, sf_dir):
+    """The review of every repair plan that stands."""
+    _, done = _repair_run(spark, sf_dir)
+    reports = review.outcome_reports(done.filter(F.col("diff") != ""))
+    return reports.select("repo", "path", "plan_key", "approved", "score", "summary")
 
 
 def failed_reports(spark, sf_dir):
-    _, reports = _repair_run(spark, sf_dir)
-    return reports.filter(F.startswith("summary", F.lit("Refactoring failed"))).select(
+    _, done = _repair_run(spark, sf_dir)
+    return review.outcome_reports(done).filter(F.startswith("summary", F.lit("Refactoring failed"))).select(
         "repo", "path", "plan_key", "approved", "score", "summary"
     )
 
 
 def run_report(spark, sf_dir):
-    scanned, reports = _repair_run(spark, sf_dir)
+    scanned, done = _repair_run(spark, sf_dir)
+    reports = review.outcome_reports(done)
     return report.run_report(scanned, reports, duration=F.lit(RUN_SECONDS))
 
 
 def run_report_budget(spark, sf_dir):
     """The same run under a token budget that some repos exceed."""
-    scanned, reports = _repair_run(spark, sf_dir)
+    scanned, done = _repair_run(spark, sf_dir)
+    reports = review.outcome_reports(done)
     return report.run_report(scanned, reports, budget=TOKEN_BUDGET, duration=F.lit(RUN_SECONDS))
 
 
@@ -363,6 +378,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "review_summary": review_summary,
     "review_body": review_body,
     "text_line_checks": text_line_checks,
+    "repair_diffs": repair_diffs,
+    "repair_reviews": repair_reviews,
     "failed_reports": failed_reports,
     "run_report": run_report,
     "run_report_budget": run_report_budget,
