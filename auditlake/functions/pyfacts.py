@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import ast
 import warnings
+from collections import deque
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -28,17 +30,31 @@ FACTS_TYPE = T.ArrayType(
 )
 
 
+# Fields that hold statements, handlers or cases, in the order a node lists them.
+_BLOCKS = ("body", "handlers", "orelse", "finalbody", "cases")
+
+
+def _statements(tree: ast.Module) -> Iterator[ast.AST]:
+    """Statements breadth-first.  Expressions hold none, so skipping them leaves the order as it is."""
+    queue = deque([tree])
+    while queue:
+        node = queue.popleft()
+        for block in _BLOCKS:
+            queue.extend(getattr(node, block, ()))
+        yield node
+
+
 def facts_of(source: str) -> list[dict]:
     """Facts of one file in breadth-first order; one ``parse_error`` fact if it does not parse."""
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            nodes = ast.walk(ast.parse(source))
+            tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError, MemoryError) as exc:
         return [dict(kind="parse_error", line=0, name=type(exc).__name__, walk_ordinal=0)]
     text = source.split("\n")
     facts = []
-    for ordinal, node in enumerate(nodes):
+    for ordinal, node in enumerate(_statements(tree)):
         if isinstance(node, ast.ExceptHandler) and node.type is None:
             fact = dict(kind="bare_except", mutable_defaults=0)
         elif isinstance(node, ast.FunctionDef):

@@ -7,13 +7,14 @@ all of their rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions.text import decode, extension
-from auditlake.operators import batch, edits, inventory, report, review, scan
 from auditlake.functions.udiff import unified_diff
+from auditlake.operators import batch, edits, inventory, report, review, scan
 from auditlake.plans.repair import repair_plans
 from auditlake.registry import corpus
 from auditlake.session import fresh_dir, written
@@ -144,7 +145,11 @@ def _single_edit(*strategies: str) -> Callable[[SparkSession, str], DataFrame]:
         done = edits.apply_each(corpus.code_files(spark, sf_dir), chosen)
         made = done.filter(F.col("error").isNull())
         return made.select(
-            "plan_key", "repo", "path", F.sha2("after", 256).alias("sha256"), F.length("after").alias("length")
+            "plan_key",
+            "repo",
+            "path",
+            F.sha2("after", 256).alias("sha256"),
+            F.length("after").alias("length"),
         )
 
     return query
@@ -248,18 +253,21 @@ def review_body(spark, sf_dir):
 
 
 def _texts(spark, sf_dir):
-    documents = corpus.table(spark, sf_dir, "documents")
-    pages = corpus.table(spark, sf_dir, "pages")
-    talks = corpus.table(spark, sf_dir, "conversations")
-    return (
-        documents.select(F.lit("documents").alias("kind"), F.col("doc_id").alias("id"), F.lit(0).cast("bigint").alias("part"), "text")
-        .unionByName(
-            pages.select(F.lit("pages").alias("kind"), F.col("page_id").alias("id"), F.lit(0).cast("bigint").alias("part"), F.col("html").alias("text"))
-        )
-        .unionByName(
-            talks.select(F.lit("conversations").alias("kind"), F.col("conv_id").alias("id"), F.col("turn").alias("part"), "text")
+    columns = {
+        "documents": ("doc_id", "0", "text"),
+        "pages": ("page_id", "0", "html"),
+        "conversations": ("conv_id", "turn", "text"),
+    }
+    parts = [
+        corpus.table(spark, sf_dir, name).select(
+            F.lit(name).alias("kind"),
+            F.col(key).alias("id"),
+            F.expr(part).cast("bigint").alias("part"),
+            F.col(text).alias("text"),
         )
-    )
+        for name, (key, part, text) in columns.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def text_line_checks(spark, sf_dir):

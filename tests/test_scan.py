@@ -1,10 +1,11 @@
+import ast
+import pathlib
 import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
-from auditlake.functions import rules
+from auditlake.functions import pyfacts
 from auditlake.operators import inventory, scan
 
 
@@ -64,14 +65,29 @@ def test_long_function(files, body, reported):
 def test_findings_follow_the_breadth_first_walk(files):
     source = (
         "def outer(a=[]):\n    try:\n        def inner(b={}):\n            pass\n    except:\n        pass\n"
-        + "\n" * 0
-        + "try:\n    pass\nexcept:\n    pass\n"
+        "try:\n    pass\nexcept:\n    pass\n"
     )
     assert found(files({"w.py": source}), "rule", "line") == {
         "w.py": [("mutable_default", 1), ("bare_except", 9), ("mutable_default", 3), ("bare_except", 5)]
     }
 
 
+def test_facts_follow_the_walk_of_whole_trees():
+    """On the standard library's own sources, against a walk over every node."""
+    seen = 0
+    for path in sorted(pathlib.Path(ast.__file__).parent.glob("*.py")):
+        source = path.read_text(encoding="utf-8")
+        walked = [
+            (node.lineno, node.end_lineno, getattr(node, "name", None))
+            for node in ast.walk(ast.parse(source))
+            if isinstance(node, ast.FunctionDef) or isinstance(node, ast.ExceptHandler) and not node.type
+        ]
+        facts = pyfacts.facts_of(source)
+        assert [(f["line"], f["end_line"], f.get("name")) for f in facts] == walked
+        seen += len(walked)
+    assert seen > 5000
+
+
 def test_files_that_do_not_parse_count_but_yield_nothing(files, spark):
     sources = {
         "syntax.py": "def (:\nexcept:",

@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from auditlake.operators import inventory, scan
 from auditlake.sources import snapshots, tables
 
@@ -61,6 +59,11 @@ def test_listed_scan_set(spark):
     }
 
 
+def test_an_empty_list_means_a_full_scan(spark):
+    files = two(spark, NOW)
+    assert paths(snapshots.listed_scan_set(files, files.limit(0))) == paths(snapshots.full_scan_set(files))
+
+
 def test_fetch_gives_the_same_rows_either_way(spark):
     files = two(spark, NOW)
     keys = files.filter("path like '%new%'").select("repo", "path")

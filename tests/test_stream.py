@@ -1,6 +1,3 @@
-from pyspark.sql import functions as F
-
-from auditlake.operators import inventory, scan
 from auditlake.streaming import continuous
 
 BATCHES = [
