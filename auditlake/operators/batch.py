@@ -21,7 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.functions.edits import INLINE_FIX, RENAME, RESTRUCTURE, STRATEGIES
+from auditlake.functions.edits import (
+    EXTRACT_FUNCTION,
+    INLINE_FIX,
+    RENAME,
+    RESTRUCTURE,
+    STRATEGIES,
+)
 from auditlake.functions.udiff import diff_text
 from auditlake.sources.tables import fetch
 
@@ -98,7 +104,10 @@ def _unchanged(text: str) -> Change:
     return Change(len(text), 0, "")
 
 
-def _change(text: str, strategy: str, original: str, target: str, start: int, end: int) -> Change:
+def _change(
+    text: str, strategy: str, original: str, target: str, start: int, end: int, search_from: int = 0
+) -> Change:
+    """``search_from``: where a first occurrence of ``original`` can start at the earliest."""
     if strategy == RESTRUCTURE:
         rows = text.split("\n")
         head = min(len("\n".join(rows[: start - 1])) + 1, len(text)) if start > 1 else 0
@@ -110,7 +119,7 @@ def _change(text: str, strategy: str, original: str, target: str, start: int, en
             after = "\n" + "\n".join(rows[end:]) if end < len(rows) else ""
             return Change(0, 0, before + target + after)
         return Change(head, tail, target)
-    first = text.find(original)
+    first = text.find(original, search_from)
     if first < 0:
         return _unchanged(text)
     if strategy == RENAME:
@@ -156,6 +165,7 @@ def _walker(run_tests: bool, auto_rollback: bool, segment_size: int):
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Out(_LOG_ARROW)
         file, text, previous, version, segment, room = None, None, None, 0, -1, 0
+        searched, search_from = None, 0
 
         def record(row: dict, step: str, change: Change, **verdict) -> str:
             nonlocal previous, version, segment, room
@@ -200,6 +210,7 @@ def _walker(run_tests: bool, auto_rollback: bool, segment_size: int):
                 close()
                 file = (row["repo"], row["path"])
                 text, previous, version, segment, room = None, None, 0, -1, 0
+                searched = None
             if row["is_file"]:
                 text = row["content"]
                 continue
@@ -230,7 +241,14 @@ def _walker(run_tests: bool, auto_rollback: bool, segment_size: int):
             else:
                 original, target = row["original_snippet"] or "", row["target_snippet"]
                 bounds = row["line_start"], row["line_end"]
-                change = _change(text, strategy, original, target, *bounds)
+                # Runs of one snippet are common.  Whatever replaced its first occurrence,
+                # the next one cannot lie wholly before that place.
+                first_only = strategy in (INLINE_FIX, EXTRACT_FUNCTION)
+                if not first_only or original != searched:
+                    search_from = 0
+                change = _change(text, strategy, original, target, *bounds, search_from)
+                searched = original if first_only and original else None
+                search_from = max(0, change.keep_head - len(original) + 1)
                 failed = run_tests and row["passed"] is False
                 if failed and auto_rollback and strategy == RESTRUCTURE:
                     done = dict(success=True, rolled_back=False, error=None)

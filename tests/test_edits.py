@@ -179,11 +179,15 @@ def test_batches_equal_the_model(spark, auto_rollback, run_tests, segment):
         if text is not None:
             contents.append((repo, "f", text))
         mine, judged = [], {}
+        favourite = SNIPPETS[f // 2 % len(SNIPPETS)]
         for seq in range(rng.randint(1, 150 if f == 0 else 12)):
             key = f"{f}-{seq}"
             strategy = rng.choice(["inline-fix", "extract-function", "rename", "restructure", "reformat"])
             target = rng.choice([s for s in SNIPPETS if len(s) < 3])
-            body = (strategy, rng.choice(SNIPPETS[1:]), target, rng.randint(0, 5), rng.randint(0, 5))
+            original = favourite if f % 2 else rng.choice(SNIPPETS)
+            if f % 4 == 1:
+                strategy = "inline-fix"
+            body = (strategy, original, target, rng.randint(0, 5), rng.randint(0, 5))
             mine.append((key, *body))
             plans.append((key, repo, "f", seq, *body, "why"))
             if rng.random() < 0.6:
