@@ -11,6 +11,9 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A scan is built from thousands of column calls; tracing each back to its source
+    # line doubles the time it takes to build the plan.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
