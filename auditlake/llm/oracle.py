@@ -2,12 +2,12 @@
 
 OP5 = """
 WITH ok AS (
-  SELECT vec_id AS id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
   FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)),
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
 scored AS (
-  SELECT a.id AS query_id, b.id AS vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), z -> z[1] * z[2])) AS BIGINT) AS score
+  SELECT a.id AS query_id, b.id AS vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
   FROM ok a JOIN ok b ON a.id % 50 = 0 AND a.id <> b.id AND len(a.q) = len(b.q)),
 ranked AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
@@ -15,4 +15,88 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
-ORACLE = {"op5_exact_top_k": OP5}
+# {docs} is a table with doc_id and text.
+LINE_DEDUP = """
+WITH src AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM {docs}),
+l AS (
+  SELECT doc_id, generate_subscripts(lines, 1) - 1 AS i, unnest(lines) AS s FROM src WHERE doc_id IS NOT NULL),
+h AS (
+  SELECT *, CAST('0x' || substr(md5(s), 1, 8) AS BIGINT) AS h, len(string_split_regex(trim(s, ' '), ' +')) >= 50 AS long
+  FROM l),
+e AS (
+  SELECT *, lead(i) OVER w IS NULL OR long OR coalesce(lead(long) OVER w, false)
+    OR (coalesce(lag(h) OVER w, 0) * 1000003 + h) % 4 = 0 AS ends
+  FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+c AS (
+  SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk
+  FROM e),
+g AS (
+  SELECT doc_id, chunk, string_agg(s, chr(10) ORDER BY i) AS body, min(i) AS first,
+    count(*) FILTER (WHERE trim(s, ' ') <> '') >= 2 AS several
+  FROM c GROUP BY doc_id, chunk),
+r AS (
+  SELECT doc_id, chunk, row_number() OVER (PARTITION BY body ORDER BY doc_id, first) > 1 AS again
+  FROM g WHERE several OR len(string_split_regex(trim(body, ' '), ' +')) >= 50),
+m AS (
+  SELECT c.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE coalesce(again, false)) AS n_removed,
+    string_agg(s, chr(10) ORDER BY i) FILTER (WHERE NOT coalesce(again, false)) AS left_text
+  FROM c LEFT JOIN r ON c.doc_id = r.doc_id AND c.chunk = r.chunk GROUP BY c.doc_id),
+deduped AS (
+  SELECT src.doc_id, CASE WHEN coalesce(n_removed, 0) = 0 THEN text ELSE coalesce(left_text, '') END AS text,
+    coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed
+  FROM src LEFT JOIN m ON src.doc_id = m.doc_id)
+"""
+
+
+def mixing_ctes(docs: str, share: str, epochs: int, seed: int) -> str:
+    """CTEs that end in ``mixed``: doc_id, n_tokens, levels, copies, budget."""
+
+    def level(name: str, path: str, parent: str, above: str, weight: str) -> str:
+        part = f"PARTITION BY {parent}" if parent else ""
+        join = f"JOIN {above} a USING ({parent})" if parent else f"CROSS JOIN {above} a"
+        return f"""
+{name}_n AS (
+  SELECT {path}, CAST(sum(usable) AS BIGINT) AS usable, {weight} AS weight FROM leaves GROUP BY {path}),
+{name}_f AS (
+  SELECT n.*, a.budget AS given_above, usable * sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+      <= weight * greatest(a.budget - coalesce(sum(usable) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS is_full
+  FROM {name}_n n {join} WINDOW w AS ({part} ORDER BY usable / weight, {path.split(", ")[-1]})),
+{name} AS (
+  SELECT {path}, CAST(CASE WHEN is_full THEN usable ELSE
+    (weight * (given_above - coalesce(sum(usable) FILTER (WHERE is_full) OVER ({part}), 0)))
+      // (sum(weight) FILTER (WHERE NOT is_full) OVER ({part})) END AS BIGINT) AS budget
+  FROM {name}_f)"""
+
+    lang = "CASE WHEN domain IN ('d0', 'd1', 'd2') THEN CASE language WHEN 'en' THEN 5 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END ELSE 1 END"
+    return f"""
+sized AS (
+  SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n_tokens,
+    coalesce('d' || CAST(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 3 AS VARCHAR), 'none') AS domain,
+    coalesce(lang, 'none') AS language, coalesce(source, 'none') AS site
+  FROM {docs}),
+leaves AS (
+  SELECT domain, language, site, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) AS BIGINT) * {epochs} AS usable
+  FROM sized GROUP BY ALL),
+root AS (SELECT (sum(tokens) * {share.split("/")[0]}) // {share.split("/")[1]} AS budget FROM leaves),
+{level("l1", "domain", "", "root", "CASE domain WHEN 'd0' THEN 5 WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 ELSE 1 END")},
+{level("l2", "domain, language", "domain", "l1", lang)},
+{level("l3", "domain, language, site", "domain, language", "l2", "1")},
+planned AS (
+  SELECT domain, language, site, tokens, budget, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS whole
+  FROM leaves JOIN l3 USING (domain, language, site)),
+placed AS (
+  SELECT sized.*, budget, whole, budget - whole * tokens AS rest,
+    CAST('0x' || substr(md5('{seed}|' || whole || '|' || doc_id), 1, 15) AS BIGINT) AS place
+  FROM sized JOIN planned USING (domain, language, site)),
+mixed AS (
+  SELECT doc_id, n_tokens, domain, language, site, whole + CASE WHEN whole < {epochs} AND
+    sum(n_tokens) OVER (PARTITION BY domain, language, site ORDER BY place, doc_id) <= rest THEN 1 ELSE 0 END AS copies, budget
+  FROM placed)
+"""
+
+
+ORACLE = {
+    "op1_line_dedup": LINE_DEDUP.format(docs="documents") + "SELECT doc_id, text, n_lines, n_removed FROM deduped",
+    "op7_mixing": "WITH " + mixing_ctes("documents", "3/5", 2, 7) + "SELECT * FROM mixed",
+    "op5_exact_top_k": OP5,
+}

@@ -6,12 +6,38 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bitslice, sentencepiece_codec
+from auditlake.llm import bitslice, linededup, mixing, sentencepiece_codec
 from auditlake.llm.common import table
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.without_repeats(docs, modulus=4, passage_words=50)
+
+
+WEIGHTS = {
+    **{"d0": 5, "d1": 3, "d2": 2},
+    **{f"d{d}/{lang}": w for d in range(3) for lang, w in {"en": 5, "de": 2, "fr": 2, "es": 1}.items()},
+}
+
+
+def mixed(docs: DataFrame, **settings) -> DataFrame:
+    """The tree of the mixture: sources in three domains by their number, then languages."""
+    number = F.expr("try_cast(regexp_extract(source, '([0-9]+)$', 1) AS int)")
+    levels = {
+        "domain": F.concat(F.lit("d"), (number % 3).cast("string")),
+        "language": F.col("lang"),
+        "site": F.col("source"),
+    }
+    return mixing.mix(docs, levels, WEIGHTS, seed=7, **settings)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents"), share=(3, 5), epochs=2)
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslice.top_k(
         table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 50 == 0, k=5, scale=256
@@ -23,6 +49,8 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op7_mixing": op7_mixing,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_sentencepiece": op6_sentencepiece,
 }
