@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bitslice, linededup, mixing, sentencepiece_codec
+from auditlake.llm import bitslice, linededup, mixing, quality, sentencepiece_codec, toxicity
 from auditlake.llm.common import table
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
@@ -17,6 +17,17 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.without_repeats(docs, modulus=4, passage_words=50)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).drop("text")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 WEIGHTS = {
     **{"d0": 5, "d1": 3, "d2": 2},
     **{f"d{d}/{lang}": w for d in range(3) for lang, w in {"en": 5, "de": 2, "fr": 2, "es": 1}.items()},
@@ -50,6 +61,8 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_toxicity": op2_toxicity,
+    "op4_quality": op4_quality,
     "op7_mixing": op7_mixing,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_sentencepiece": op6_sentencepiece,
