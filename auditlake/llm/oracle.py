@@ -95,7 +95,70 @@ mixed AS (
 """
 
 
+def _matches(kind: str, pattern: str, valid: str) -> str:
+    return f"""
+{kind}_m AS (
+  SELECT doc_id, generate_subscripts(m, 1) AS i, unnest(m) AS m, unnest(p[1:len(m)]) AS p
+  FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS p FROM src)),
+{kind}_s AS (
+  SELECT doc_id, '{kind}' AS kind, m, CAST(sum(length(p) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS e
+  FROM {kind}_m),
+{kind} AS (SELECT doc_id, kind, m, e - length(m) AS s, e FROM {kind}_s WHERE {valid})"""
+
+
+_IP = r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
+_LUHN = (
+    "list_sum(list_transform(generate_series(1, length({d})), lambda i: CASE WHEN i % 2 = 1 "
+    "THEN CAST(substr({d}, length({d}) - i + 1, 1) AS INT) "
+    "ELSE 2 * CAST(substr({d}, length({d}) - i + 1, 1) AS INT) - CASE WHEN CAST(substr({d}, length({d}) - i + 1, 1) AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+).format(d="regexp_replace(m, '[ -]', '', 'g')")
+_TERM = r"[\x20\x09-\x0D.,;:!?()\x22]"
+
+PII = f"""
+WITH src AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+{_matches("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+", "true")},
+{_matches("ip", _IP, "len(list_filter(string_split(m, '.'), lambda x: CAST(x AS HUGEINT) > 255)) = 0")},
+{_matches("card", "[0-9](?:[ -]?[0-9])+", "length(regexp_replace(m, '[ -]', '', 'g')) BETWEEN 13 AND 19 AND " + _LUHN)},
+{_matches("phone", "[+][0-9][ ().0-9-]+[0-9]", "length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 9 AND 15")},
+base AS (
+  SELECT *, 1 AS k FROM email UNION ALL SELECT *, 2 FROM ip UNION ALL SELECT *, 3 FROM card UNION ALL SELECT *, 4 FROM phone),
+mentions AS (
+  SELECT base.doc_id, kind || ':' || lower(m) AS entity,
+    lower(substr(text, greatest(s - 79, 1), least(s, 80)) || ' ' || substr(text, e + 1, 80)) AS around
+  FROM base JOIN src ON base.doc_id = src.doc_id),
+near AS (
+  SELECT DISTINCT doc_id, entity, around, term FROM (
+    SELECT doc_id, entity, around, unnest(string_split_regex(around, '{_TERM}')) AS term FROM mentions) WHERE length(term) > 2),
+pairs AS (
+  SELECT term, entity, count(DISTINCT doc_id) AS n_te FROM near GROUP BY ALL HAVING count(DISTINCT around) >= 3),
+ents AS (SELECT entity, count(DISTINCT doc_id) AS n_e FROM mentions GROUP BY entity),
+vocabulary AS (
+  SELECT term, count(DISTINCT doc_id) AS n_t FROM (
+    SELECT doc_id, unnest(string_split_regex(lower(text), '{_TERM}')) AS term FROM src)
+  WHERE term IN (SELECT term FROM pairs) GROUP BY term),
+telling AS (
+  SELECT DISTINCT term FROM pairs JOIN ents USING (entity) JOIN vocabulary USING (term), (SELECT count(doc_id) AS n FROM src)
+  WHERE log2(n_te * CAST(n AS DOUBLE) / (n_t * n_e)) >= 0.9 * log2(CAST(n AS DOUBLE) / n_e)),
+pieces AS (
+  SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS piece
+  FROM (SELECT doc_id, string_split_regex(text, '{_TERM}') AS p FROM src)),
+placed AS (
+  SELECT doc_id, piece, CAST(sum(length(piece) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) - 1 AS e FROM pieces),
+terms AS (
+  SELECT doc_id, 'term' AS kind, piece AS m, e - length(piece) AS s, e, 5 AS k
+  FROM placed WHERE lower(piece) IN (SELECT term FROM telling)),
+digests AS (
+  SELECT doc_id, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in ("email", "ip", "card", "phone", "term"))},
+    coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) FILTER (WHERE k < 5), '') AS base,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) AS spans
+  FROM (SELECT * FROM base UNION ALL SELECT * FROM terms) GROUP BY doc_id)
+SELECT src.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in ("email", "ip", "card", "phone", "term"))},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM src LEFT JOIN digests USING (doc_id)
+"""
+
 ORACLE = {
+    "op10_pii": PII,
     "op1_line_dedup": LINE_DEDUP.format(docs="documents") + "SELECT doc_id, text, n_lines, n_removed FROM deduped",
     "op7_mixing": "WITH " + mixing_ctes("documents", "3/5", 2, 7) + "SELECT * FROM mixed",
     "op5_exact_top_k": OP5,

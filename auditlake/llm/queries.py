@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bitslice, linededup, mixing, quality, sentencepiece_codec, toxicity
+from auditlake.llm import bitslice, linededup, mixing, perplexity, pii, quality, sentencepiece_codec, toxicity
 from auditlake.llm.common import table
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
@@ -59,11 +59,21 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op9_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents"), disclosure=0.9, support=3))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
     "op4_quality": op4_quality,
     "op7_mixing": op7_mixing,
+    "op9_perplexity": op9_perplexity,
+    "op10_pii": op10_pii,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_sentencepiece": op6_sentencepiece,
 }
