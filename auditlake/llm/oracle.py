@@ -157,7 +157,30 @@ SELECT src.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in ("email",
 FROM src LEFT JOIN digests USING (doc_id)
 """
 
+# {docs} is a table with doc_id and text; ends in n_shingles and component_id by doc_id.
+JACCARD = """
+jw AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM {docs}),
+js AS (
+  SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM jw),
+ju AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM js),
+jl AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM ju a JOIN ju b ON a.g = b.g AND a.doc_id < b.doc_id
+  WHERE 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+jb AS (SELECT x, y FROM jl UNION ALL SELECT y, x FROM jl),
+jr(x, y) AS (SELECT x, y FROM jb UNION SELECT jr.x, jb.y FROM jr JOIN jb ON jr.y = jb.x),
+jc AS (SELECT x, min(y) AS c FROM jr GROUP BY x),
+grouped AS (
+  SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(c, doc_id)) AS component_id
+  FROM js LEFT JOIN jc ON doc_id = x)
+"""
+
 ORACLE = {
+    "op8_ngram_jaccard": "WITH RECURSIVE" + JACCARD.format(docs="documents") + "SELECT doc_id, n_shingles, component_id FROM grouped",
     "op10_pii": PII,
     "op1_line_dedup": LINE_DEDUP.format(docs="documents") + "SELECT doc_id, text, n_lines, n_removed FROM deduped",
     "op7_mixing": "WITH " + mixing_ctes("documents", "3/5", 2, 7) + "SELECT * FROM mixed",

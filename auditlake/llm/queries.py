@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bitslice, linededup, mixing, perplexity, pii, quality, sentencepiece_codec, toxicity
+from auditlake.llm import bitslice, linededup, mixing, perplexity, pii, quality, sentencepiece_codec, toxicity, triejoin
 from auditlake.llm.common import table
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
@@ -59,6 +59,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triejoin.jaccard_groups(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op9_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op4_quality": op4_quality,
     "op7_mixing": op7_mixing,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_perplexity": op9_perplexity,
     "op10_pii": op10_pii,
     "op5_exact_top_k": op5_exact_top_k,
