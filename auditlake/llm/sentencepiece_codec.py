@@ -25,11 +25,15 @@ from auditlake.llm.common import arrow_map
 
 SPACE = "▁"
 STRETCH = re.compile(f"{SPACE}+[^{SPACE}]*")
-REMEMBERED = 300_000  # stretches kept by a worker before it starts afresh
+REMEMBERED = 600_000  # stretches kept by a worker before it starts afresh
 KEPT_LENGTH = 64  # longer stretches aren't kept
 SHORT = 48  # symbols up to which scanning beats a heap
 
 
+# What a worker process has encoded before, by model file; it outlives a task.
+_KNOWN: dict[str, tuple[MergeCodec, dict[str, tuple[list[int], str]]]] = {}
+
+
 class MergeCodec:
     """Vocabulary of one model file; ``encode`` and ``decode`` follow the library."""
 
@@ -152,8 +156,9 @@ def encode_documents(docs: DataFrame, model_file: str, digests: bool = True) ->
     """
 
     def run(batches):
-        codec = MergeCodec(model_file)
-        known: dict[str, tuple[list[int], str]] = {}
+        if model_file not in _KNOWN:
+            _KNOWN[model_file] = MergeCodec(model_file), {}
+        codec, known = _KNOWN[model_file]
         for batch in batches:
             out = {"doc_id": batch["doc_id"], "n_tokens": [], "first": [], "second": []}
             rows = batch["text"]
@@ -161,7 +166,7 @@ def encode_documents(docs: DataFrame, model_file: str, digests: bool = True) ->
                 texts = [codec.stretches(t or "") for t in rows[at : at + 256].to_pylist()]
                 fresh = list({s for t in texts for s in t if s not in known})
                 if len(known) + len(fresh) > REMEMBERED:
-                    known = {}
+                    known.clear()
                     fresh = list({s for t in texts for s in t})
                 new = dict(
                     (s, (ids, ",".join(map(str, ids))))
@@ -170,7 +175,7 @@ def encode_documents(docs: DataFrame, model_file: str, digests: bool = True) ->
                 known.update(new)
                 for stretches in texts:
                     pairs = [known[s] for s in stretches]
-                    ids = [i for own, _ in pairs for i in own]
+                    ids = list(chain.from_iterable([own for own, _ in pairs]))
                     out["n_tokens"].append(len(ids))
                     decoded = codec.library.decode(ids) if ids else ""
                     if digests:
