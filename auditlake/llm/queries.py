@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bitslice, linededup, mixing, perplexity, pii, quality, sentencepiece_codec, toxicity, triejoin
+from auditlake.llm import (
+    bitslice,
+    htmltext,
+    linededup,
+    mixing,
+    perplexity,
+    pii,
+    quality,
+    sentencepiece_codec,
+    toxicity,
+    triejoin,
+)
 from auditlake.llm.common import table
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
@@ -23,6 +34,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).drop("text")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return htmltext.extract(pages, htmltext.train(pages))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -74,6 +90,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
+    "op3_html_text": op3_html_text,
     "op4_quality": op4_quality,
     "op7_mixing": op7_mixing,
     "op8_ngram_jaccard": op8_ngram_jaccard,
