@@ -139,8 +139,10 @@ class MergeCodec:
     def checked(self, stretches: list[str]) -> list[list[int]]:
         """Ids of new stretches by the agenda, compared with the library's."""
         own = list(map(self.stretch_ids, stretches))
-        # The library puts the first word start before the text itself.
-        if self.library.encode([s[1:].replace(SPACE, " ") for s in stretches], num_threads=1) != own:
+        # The library puts the first word start before the text itself, but before no text none.
+        texts = [s[1:].replace(SPACE, " ") for s in stretches]
+        theirs = self.library.encode(texts, num_threads=1)
+        if [t if text else [self.library.piece_to_id(SPACE)] for t, text in zip(theirs, texts)] != own:
             raise ValueError("the agenda and the library disagree")
         return own
 
