@@ -1,15 +1,19 @@
 """Line dedup: content-defined chunks of lines that repeat anywhere are removed.
 
-Lines are hashed, and a rolling hash over two neighbouring line hashes says where a chunk
-ends, so boundaries move with the text and not with its place. A line as long as a passage
-(``passage_words`` or more) is a chunk by itself. Chunks of two or more lines that
-aren't blank, and passages, count; of all chunks with equal bytes the first (smallest
-doc_id, then position) stays and the others go.
+Lines are hashed, and a rolling hash over neighbouring line hashes says where a chunk of
+two or more lines ends, so boundaries move with the text and not with its place. Chunks with two
+lines that aren't blank count, and so does a single line as long as a passage
+(``passage_words`` or more). Of all equal chunks the first (smallest doc_id, then position)
+stays and the others go.
 
-Equal bytes are established by grouping on the chunk's whole text; documents are then
-marked by the chunk's key alone (120 bits of its digest), where that key belongs to one
-text only. Groups are counted by partial aggregates, and the join from a frequent key to
-its occurrences has narrow rows and is of a kind that Spark splits when it is uneven.
+Equality is a matter of bytes: all lines are grouped by key and whole text once, which
+shows for which keys (digests of lines) the text is one and the same; chunks are equal when their
+sequences of such keys are. A line whose key belongs to several texts is left alone, with
+the chunks that hold it.
+
+Texts move once for this comparison, copies added up before, and once with their documents.
+What repeats is counted by partial aggregates over narrow rows, and the join from a frequent
+chunk to its occurrences is of a kind that Spark splits when it is uneven.
 
 DataFrame functions only.
 """
@@ -22,59 +26,53 @@ from pyspark.sql import functions as F
 from auditlake.llm.common import hex_long
 
 ROLL = 1_000_003  # weight of the line before in the rolling hash
-HASH_DIGITS = 8  # hex digits of a line's hash
-KEY_DIGITS = 30
+HASH_DIGITS = 8  # hex digits of a line's hash in it
 
 
 def chunked(docs: DataFrame, modulus: int, passage_words: int, key_digits: int) -> DataFrame:
-    """(doc_id, row, lines, chunks): chunks are structs of first and last line, text and key."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    rows = docs.select("doc_id", "text", lines.alias("lines"))
+    """(doc_id, lines, keys, chunks): chunks are structs of first and last line and their keys."""
+    rows = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    rows = rows.select("doc_id", "lines", F.transform("lines", lambda s: F.md5(s)).alias("digests"))
     rows = rows.select(
         "doc_id",
-        "text",
         "lines",
-        F.transform("lines", lambda s: hex_long(F.md5(s), HASH_DIGITS)).alias("hashes"),
-        F.transform("lines", lambda s: _words(s) >= passage_words).alias("long"),
+        F.transform("digests", lambda d: F.substring(d, 1, key_digits)).alias("keys"),
+        F.transform("digests", lambda d: hex_long(d, HASH_DIGITS)).alias("hashes"),
+    )
+    rolled = F.transform(
+        "hashes",
+        lambda h, i: F.pmod(F.coalesce(F.get("hashes", i - 1), F.lit(0)) * ROLL + h, F.lit(modulus)) == 0,
     )
+    rows = rows.select("doc_id", "lines", "keys", rolled.alias("cuts"))
 
     def ends(i: Column) -> Column:
-        rolled = F.coalesce(F.get("hashes", i - 1), F.lit(0)) * ROLL + F.get("hashes", i)
-        return (
-            (i == F.size("lines") - 1)
-            | F.get("long", i)
-            | F.coalesce(F.get("long", i + 1), F.lit(False))
-            | (F.pmod(rolled, F.lit(modulus)) == 0)
-        )
-
-    rows = rows.withColumn("ends", F.filter(F.sequence(F.lit(0), F.size("lines") - 1), ends))
-
-    def chunk(end: Column, k: Column) -> Column:
-        first = F.coalesce(F.get("ends", k - 1) + 1, F.lit(0))
-        own = F.slice("lines", first + 1, end - first + 1)
-        return F.struct(
-            first.alias("first"),
-            end.alias("last"),
-            F.array_join(own, "\n").alias("chunk"),
-            (F.size(F.filter(own, lambda s: F.trim(s) != "")) >= 2).alias("several"),
-        )
-
-    rows = rows.withColumn("chunks", F.transform("ends", chunk))
-
-    def counted(c: Column) -> Column:
-        return c["several"] | (_words(c["chunk"]) >= passage_words)
+        """No two ends in a row, and none that would leave a single line at either side."""
+        inner = (i > 0) & (i != F.size("lines") - 2)
+        return (i == F.size("lines") - 1) | (inner & F.get("cuts", i) & ~F.get("cuts", i - 1))
+
+    rows = rows.select(
+        "doc_id", "lines", "keys", F.filter(F.sequence(F.lit(0), F.size("lines") - 1), ends).alias("ends")
+    )
+
+    def chunk(last: Column, k: Column) -> Column:
+        return _struct(F.coalesce(F.get("ends", k - 1) + 1, F.lit(0)), last)
+
+    def several(c: Column) -> Column:
+        own = F.slice("lines", c["first"] + 1, c["last"] - c["first"] + 1)
+        return F.size(F.filter(own, lambda s: F.trim(s) != "")) >= 2
 
+    passages = F.transform(
+        F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: _words(F.get("lines", i)) >= passage_words),
+        lambda i: _struct(i, i),
+    )
     return rows.select(
-        "doc_id",
-        F.transform(
-            F.filter("chunks", counted),
-            lambda c: F.struct(
-                c["first"].alias("first"),
-                c["last"].alias("last"),
-                c["chunk"].alias("chunk"),
-                F.substring(F.md5(c["chunk"]), 1, key_digits).alias("key"),
-            ),
-        ).alias("chunks"),
+        "doc_id", "lines", "keys", F.concat(F.filter(F.transform("ends", chunk), several), passages).alias("chunks")
+    )
+
+
+def _struct(first: Column, last: Column) -> Column:
+    return F.struct(
+        first.alias("first"), last.alias("last"), F.slice("keys", first + 1, last - first + 1).alias("keys")
     )
 
 
@@ -84,30 +82,27 @@ def _words(text: Column) -> Column:
 
 
 def removals(
-    docs: DataFrame, modulus: int = 4, passage_words: int = 50, key_digits: int = KEY_DIGITS
+    docs: DataFrame, modulus: int = 2, passage_words: int = 50, key_digits: int = 32
 ) -> DataFrame:
     """(doc_id, first, last): line ranges that repeat an earlier chunk.
 
     ``doc_id`` must tell rows apart.
     """
+    rows = chunked(docs, modulus, passage_words, key_digits)
     # Outer, as the optimizer would copy the whole chunking below the size filter that it
     # adds to an inner explode.
-    chunks = chunked(docs, modulus, passage_words, key_digits)
-    chunks = chunks.select("doc_id", F.explode_outer("chunks").alias("c")).select("doc_id", "c.*")
-    chunks = chunks.filter(F.col("key").isNotNull())
+    lines = rows.select(F.explode_outer(F.arrays_zip("keys", "lines")).alias("l"))
+    texts = lines.groupBy(F.col("l.keys").alias("key"), F.col("l.lines").alias("line")).agg(F.lit(1).alias("one"))
+    unclear = texts.groupBy("key").count().filter("count > 1").select("key")
+
+    chunks = rows.select("doc_id", F.explode_outer("chunks").alias("c")).select("doc_id", "c.*")
     # One number for (doc_id, first), as a hash aggregate can't hold structs.
     place = F.col("doc_id").cast("decimal(20,0)") * F.lit(2**31).cast("decimal(11,0)") + F.col("first")
-    chunks = chunks.withColumn("place", place.cast("decimal(38,0)"))
-    # The byte comparison: groups are whole texts. Each task adds up its own copies first.
-    texts = chunks.groupBy("key", "chunk").agg(F.count("*").alias("n"), F.min("place").alias("keeper"))
-    repeated = (
-        texts.groupBy("key")
-        .agg(F.count("*").alias("texts"), F.max("n").alias("n"), F.min("keeper").alias("keeper"))
-        .filter((F.col("texts") == 1) & (F.col("n") > 1))
-        .select("key", "keeper")
-    )
-    again = chunks.select("key", "doc_id", "first", "last", "place").join(repeated, "key")
-    return again.filter(F.col("place") != F.col("keeper")).select("doc_id", "first", "last")
+    chunks = chunks.filter(F.col("keys").isNotNull()).withColumn("place", place.cast("decimal(38,0)"))
+    repeated = chunks.groupBy("keys").agg(F.count("*").alias("n"), F.min("place").alias("keeper"))
+    again = chunks.join(repeated.filter("n > 1"), "keys").filter(F.col("place") != F.col("keeper"))
+    doubtful = again.select("place", F.explode("keys").alias("key")).join(unclear, "key", "left_semi")
+    return again.join(doubtful.select("place").distinct(), "place", "left_anti").select("doc_id", "first", "last")
 
 
 def without_repeats(docs: DataFrame, **settings) -> DataFrame:
@@ -124,20 +119,20 @@ def without_repeats(docs: DataFrame, **settings) -> DataFrame:
     gone = removals(known.select("doc_id", "text"), **settings)
     gone = gone.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("__gone"))
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    rows = docs.select(*own, F.split("text", "\n").alias("__lines")).join(gone, "doc_id", "left")
-    rows = rows.withColumn("__gone", F.array_sort("__gone"))
+    rows = docs.select(*own).join(gone, "doc_id", "left")
+    rows = rows.withColumn("__lines", F.split("text", "\n"))
+    numbers = F.flatten(F.transform("__gone", lambda r: F.sequence(r["first"], r["last"])))
+    rows = rows.withColumn("__gone", F.array_sort(F.array_distinct(numbers)))
 
     def gap(k: Column) -> Column:
-        """The lines from behind one removed range to before the next."""
-        first = F.coalesce(F.get("__gone", k - 1)["last"] + 1, F.lit(0))
-        behind = F.coalesce(F.get("__gone", k)["first"], F.size("__lines"))
-        return F.slice("__lines", first + 1, behind - first)
+        """The lines from behind one removed line to before the next."""
+        first = F.coalesce(F.get("__gone", k - 1) + 1, F.lit(0))
+        return F.slice("__lines", first + 1, F.coalesce(F.get("__gone", k), F.size("__lines")) - first)
 
     kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("__gone")), gap))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    removed = F.aggregate("__gone", F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1)
     return rows.select(
         *(text.alias("text") if c == "text" else F.col(c) for c in own),
         F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
     )

@@ -23,24 +23,26 @@ l AS (
 h AS (
   SELECT *, CAST('0x' || substr(md5(s), 1, 8) AS BIGINT) AS h, len(string_split_regex(trim(s, ' '), ' +')) >= 50 AS long
   FROM l),
-e AS (
-  SELECT *, lead(i) OVER w IS NULL OR long OR coalesce(lead(long) OVER w, false)
-    OR (coalesce(lag(h) OVER w, 0) * 1000003 + h) % 4 = 0 AS ends
+k AS (
+  SELECT *, (coalesce(lag(h) OVER w, 0) * 1000003 + h) % 2 = 0 AS cut, count(*) OVER (PARTITION BY doc_id) AS n
   FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+e AS (
+  SELECT *, i = n - 1 OR (i > 0 AND i <> n - 2 AND cut AND NOT lag(cut) OVER (PARTITION BY doc_id ORDER BY i)) AS ends FROM k),
 c AS (
   SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk
   FROM e),
 g AS (
-  SELECT doc_id, chunk, string_agg(s, chr(10) ORDER BY i) AS body, min(i) AS first,
-    count(*) FILTER (WHERE trim(s, ' ') <> '') >= 2 AS several
-  FROM c GROUP BY doc_id, chunk),
-r AS (
-  SELECT doc_id, chunk, row_number() OVER (PARTITION BY body ORDER BY doc_id, first) > 1 AS again
-  FROM g WHERE several OR len(string_split_regex(trim(body, ' '), ' +')) >= 50),
+  SELECT doc_id, chunk, string_agg(s, chr(10) ORDER BY i) AS body, min(i) AS first
+  FROM c GROUP BY doc_id, chunk HAVING count(*) FILTER (WHERE trim(s, ' ') <> '') >= 2),
+r AS (SELECT doc_id, chunk, row_number() OVER (PARTITION BY body ORDER BY doc_id, first) > 1 AS chunk_again FROM g),
+p AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1 AS line_again FROM c WHERE long),
+x AS (
+  SELECT c.*, coalesce(chunk_again, false) OR coalesce(line_again, false) AS again
+  FROM c LEFT JOIN r ON c.doc_id = r.doc_id AND c.chunk = r.chunk LEFT JOIN p ON c.doc_id = p.doc_id AND c.i = p.i),
 m AS (
-  SELECT c.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE coalesce(again, false)) AS n_removed,
-    string_agg(s, chr(10) ORDER BY i) FILTER (WHERE NOT coalesce(again, false)) AS left_text
-  FROM c LEFT JOIN r ON c.doc_id = r.doc_id AND c.chunk = r.chunk GROUP BY c.doc_id),
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE again) AS n_removed,
+    string_agg(s, chr(10) ORDER BY i) FILTER (WHERE NOT again) AS left_text
+  FROM x GROUP BY doc_id),
 deduped AS (
   SELECT src.doc_id, CASE WHEN coalesce(n_removed, 0) = 0 THEN text ELSE coalesce(left_text, '') END AS text,
     coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed

@@ -25,7 +25,7 @@ VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return linededup.without_repeats(docs, modulus=4, passage_words=50)
+    return linededup.without_repeats(docs, modulus=2, passage_words=50)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
