@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.session import written
@@ -150,17 +150,27 @@ def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, terms): where the terms stand, in the documents that hold any."""
     known = F.broadcast(terms) if terms.count() <= SMALL_TABLE else terms
     hold = docs.select("doc_id", F.explode_outer(words_in(F.coalesce("text", F.lit("")))).alias("term"))
-    hold = hold.join(known, "term", "left_semi").select("doc_id").distinct()
+    hold = hold.join(known, "term", "left_semi").groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
     # Documents with telling terms are few; their ids are joined as the planner sees fit.
-    pieces = docs.select("doc_id", "text").join(hold, "doc_id", "left_semi")
-    pieces = pieces.select("doc_id", F.posexplode(F.split("text", TERM_BREAK)).alias("k", "piece"))
-    order = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.withColumn(
-        "start", F.coalesce(F.sum(F.length("piece") + 1).over(order), F.lit(0)).cast("int")
+    rows = docs.select("doc_id", "text").join(hold, "doc_id")
+    rows = rows.select("doc_id", "terms", F.split("text", TERM_BREAK).alias("pieces"))
+    rows = rows.withColumn(
+        "at",
+        F.filter(
+            F.sequence(F.lit(0), F.size("pieces") - 1),
+            lambda i: F.array_contains("terms", F.lower(F.get("pieces", i))),
+        ),
     )
-    found = pieces.withColumn("term", F.lower("piece")).join(known, "term")
-    one = F.struct("start", (F.col("start") + F.length("piece")).alias("end"), F.col("piece").alias("value"))
-    return found.groupBy("doc_id").agg(F.array_sort(F.collect_set(one)).alias("term"))
+
+    def span(i: Column) -> Column:
+        """Breaks are single characters, so what stands before says where a piece starts."""
+        before = F.length(F.array_join(F.slice("pieces", F.lit(1), i), " "))
+        start = F.when(i > 0, before + 1).otherwise(0)
+        value = F.get("pieces", i)
+        return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"))
+
+    spans = rows.select("doc_id", F.explode(F.transform("at", span)).alias("span"))
+    return spans.groupBy("doc_id").agg(F.array_sort(F.collect_set("span")).alias("term"))
 
 
 def find(docs: DataFrame, disclosure: float = 0.9, support: int = 3) -> DataFrame:
