@@ -6,6 +6,7 @@ The worker only reports facts; every judgement on them is a column expression.
 from __future__ import annotations
 
 import ast
+import re
 import warnings
 from collections import deque
 from collections.abc import Iterator
@@ -30,6 +31,8 @@ FACTS_TYPE = T.ArrayType(
 )
 
 
+# Where the parser ends a line.
+_PARSER_LINE_END = re.compile(r"\r\n?|\n")
 # Fields that hold statements, handlers or cases, in the order a node lists them.
 _BLOCKS = ("body", "handlers", "orelse", "finalbody", "cases")
 
@@ -45,14 +48,19 @@ def _statements(tree: ast.Module) -> Iterator[ast.AST]:
 
 
 def facts_of(source: str) -> list[dict]:
-    """Facts of one file in breadth-first order; one ``parse_error`` fact if it does not parse."""
+    """Facts of one file in breadth-first order; one ``parse_error`` fact if it does not parse.
+
+    Whatever goes wrong with a file stays with that file.
+    """
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError, MemoryError) as exc:
+            return _facts(ast.parse(source), _PARSER_LINE_END.split(source))
+    except (SyntaxError, ValueError, RecursionError, MemoryError, LookupError) as exc:
         return [dict(kind="parse_error", line=0, name=type(exc).__name__, walk_ordinal=0)]
-    text = source.split("\n")
+
+
+def _facts(tree: ast.Module, text: list[str]) -> list[dict]:
     facts = []
     for ordinal, node in enumerate(_statements(tree)):
         if isinstance(node, ast.ExceptHandler) and node.type is None:

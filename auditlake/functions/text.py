@@ -54,8 +54,12 @@ def extension(path: Column) -> Column:
 
 def decode(raw: Column) -> Column:
     """UTF-8 bytes to text: bad bytes become U+FFFD, every line end becomes ``\\n``."""
-    text = F.make_valid_utf8(raw.cast("string"))
-    return F.regexp_replace(text, r"\r\n?", "\n")
+    return unix_line_ends(F.make_valid_utf8(raw.cast("string")))
+
+
+def unix_line_ends(text: Column) -> Column:
+    replaced = F.regexp_replace(text, r"\r\n?", "\n")
+    return F.when(F.contains(text, F.lit("\r")), replaced).otherwise(text)
 
 
 def line_count(content: Column) -> Column:

@@ -41,7 +41,7 @@ FLUSH_ROWS = 2_000
 LOG_SCHEMA = (
     "repo string, path string, seq int, plan_key string, step string, version int, segment int, "
     "base string, keep_head int, keep_tail int, inserted string, "
-    "is_outcome boolean, success boolean, rolled_back boolean, error string"
+    "is_outcome boolean, success boolean, rolled_back boolean, error string, output string"
 )
 _LOG_ARROW = pa.schema(
     [
@@ -60,6 +60,7 @@ _LOG_ARROW = pa.schema(
         ("success", pa.bool_()),
         ("rolled_back", pa.bool_()),
         ("error", pa.string()),
+        ("output", pa.string()),
     ]
 )
 _VERSION_ARROW = pa.schema(
@@ -251,7 +252,7 @@ def _walker(run_tests: bool, auto_rollback: bool, segment_size: int):
                 search_from = max(0, change.keep_head - len(original) + 1)
                 failed = run_tests and row["passed"] is False
                 if failed and auto_rollback and strategy == RESTRUCTURE:
-                    done = dict(success=True, rolled_back=False, error=None)
+                    done = dict(success=True, rolled_back=False, error=None, output=row["output"])
                     text = record(row, "edit", change, is_outcome=False, **done)
                     simple = _change(
                         text, INLINE_FIX, original.split("\n")[0], target.split("\n")[0], *bounds
@@ -266,6 +267,7 @@ def _walker(run_tests: bool, auto_rollback: bool, segment_size: int):
                         success=True,
                         rolled_back=True,
                         error=None,
+                        output=row["output"],
                     )
                 else:
                     text = record(
@@ -276,6 +278,7 @@ def _walker(run_tests: bool, auto_rollback: bool, segment_size: int):
                         success=not failed,
                         rolled_back=False,
                         error=f"Tests failed: {(row['output'] or '')[:200]}" if failed else None,
+                        output=row["output"],
                     )
             if out.full():
                 yield out.flush()
@@ -285,6 +288,18 @@ def _walker(run_tests: bool, auto_rollback: bool, segment_size: int):
     return walk
 
 
+def one_verdict(verdicts: DataFrame) -> DataFrame:
+    """One row per plan: whether every run passed, and the output of one that did not.
+
+    A run without a result did not fail.
+    """
+    failed = ~F.coalesce("passed", F.lit(True))
+    return verdicts.groupBy("plan_key").agg(
+        (~F.bool_or(failed)).alias("passed"),
+        F.coalesce(F.min(F.when(failed, F.col("output"))), F.min("output")).alias("output"),
+    )
+
+
 def edit_log(
     files: DataFrame,
     plans: DataFrame,
@@ -296,8 +311,9 @@ def edit_log(
     """Apply ``plans`` to ``files`` in ``seq`` order; one log row per edit made.
 
     ``verdicts(plan_key, passed, output)`` tells how the tests went after a plan;
-    a plan without a verdict passes.  Only files that have plans are shuffled,
-    each content once.
+    a plan without a verdict passes, and one with several passes if all of them do.
+    The log keeps the whole output; errors quote its start.  Only files that have plans
+    are shuffled, each content once.
     """
     judged = plans.select(
         "repo",
@@ -311,7 +327,7 @@ def edit_log(
         "line_end",
     )
     if verdicts is not None and run_tests:
-        judged = judged.join(verdicts.select("plan_key", "passed", "output"), "plan_key", "left")
+        judged = judged.join(one_verdict(verdicts), "plan_key", "left")
     planned = fetch(files, plans)
     feed = (
         planned.select("repo", "path", "content", F.lit(True).alias("is_file"))

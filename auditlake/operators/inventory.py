@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.rules import LANGUAGES, language_of
-from auditlake.functions.text import extension, line_count, token_estimate
+from auditlake.functions.text import extension, line_count, token_estimate, unix_line_ends
 
 # Directories that hold no sources, at any level.
 EXCLUDED_DIRS = [
@@ -55,16 +55,18 @@ def with_language(files: DataFrame) -> DataFrame:
     return files.withColumn("ext", ext).withColumn("language", language_of(F.col("ext")))
 
 
-def source_files(files: DataFrame, prune: bool = True, max_bytes: int | None = None) -> DataFrame:
-    """The files a scan visits: a supported extension, outside the excluded directories."""
+def source_files(files: DataFrame, prune: bool = True) -> DataFrame:
+    """The files a scan visits: a supported extension, outside the excluded directories.
+
+    Line ends become ``\n`` whatever table the contents come from.
+    """
     kept = files.filter(extension(F.col("path")).isin(*LANGUAGES))
     if "content" in files.columns:
         # What could not be read is skipped, and not counted.
         kept = kept.filter(F.col("content").isNotNull())
+        kept = kept.withColumn("content", unix_line_ends(F.col("content")))
     if prune:
         kept = kept.filter(~in_excluded_dir(F.col("path")))
-    if max_bytes is not None:
-        kept = kept.filter(F.octet_length("content") <= max_bytes)
     return with_language(kept)
 
 

@@ -92,8 +92,11 @@ def outcome_reports(outcomes: DataFrame, approve_from: int = R.APPROVE_FROM) ->
     )
 
 
-def review_bodies(reports: DataFrame, work_summary: Column, title: str = "Auto-Review") -> DataFrame:
+def review_bodies(
+    reports: DataFrame, work_summary: Column, title: str = "Auto-Review", keys: tuple[str, ...] = ("diff_id",)
+) -> DataFrame:
+    """The text of each report; ``keys`` are carried (reports of edits have a ``plan_key``)."""
     return reports.select(
-        "diff_id",
+        *keys,
         R.body(F.col("approved"), F.col("score"), F.col("comments"), work_summary, title).alias("body"),
     )

@@ -12,8 +12,14 @@ def plan_key(repo: Column, path: Column, seq: Column) -> Column:
     return F.sha2(F.concat_ws(chr(31), repo, path, seq.cast("string")), 256)
 
 
-def repair_plans(found: DataFrame, prefix: str = "audit") -> DataFrame:
-    """One inline fix per finding worth fixing; ``seq`` is the finding's place in its file."""
+def repair_plans(found: DataFrame, prefix: str = "audit", gate: DataFrame | None = None) -> DataFrame:
+    """One inline fix per finding worth fixing; ``seq`` is the finding's place in its file.
+
+    ``gate(repo, success)`` stops work before it is planned: only repos that passed it get
+    plans, so nothing of the others is edited.
+    """
+    if gate is not None:
+        found = found.join(gate.filter("success").select("repo"), "repo", "left_semi")
     worth = found.filter(
         ~F.col("severity").isin("info", "low")
         & (F.col("category") == "anti-pattern")

@@ -143,6 +143,7 @@ PLAN_COLUMNS = {
 
 # Verdicts: one in five fails; one in seven is about a plan nobody made, so that plan has none.
 VERDICT_PASSED = "seq % 5 <> 0"
+SECOND_PASSED = "seq % 3 <> 0"  # of a second test run after each plan
 VERDICT_KEY = "CASE WHEN seq % 7 = 0 THEN concat('other ', plan_key) ELSE plan_key END"
 VERDICT_OUTPUT = "concat('exit ', seq, ' ', repeat('e', 210))"
 

@@ -177,6 +177,8 @@ REPAIR_PLANS = """repair_plans AS (
   FROM findings WHERE severity NOT IN ('info', 'low') AND category = 'anti-pattern'
     AND lower(title) LIKE '%except%')"""
 
+WITHIN = f"repo IN (SELECT repo FROM summary WHERE tokens <= {TOKEN_BUDGET})"
+
 EVENT_PLANS = (
     "event_plans AS (SELECT concat('p', event_id) AS plan_key, "
     + ", ".join(f"{text} AS {name}" for name, text in corpus.PLAN_COLUMNS.items())
@@ -211,7 +213,12 @@ FROM (SELECT p.plan_key, p.repo, p.path, {_edited('f.content', 'p')} AS after
   FROM event_plans p JOIN code_files f USING (repo, path) WHERE {where})"""
 
 
-def _fold(plans: str, auto_rollback: bool = True) -> str:
+def _fold(
+    plans: str,
+    auto_rollback: bool = True,
+    passed: str = corpus.VERDICT_PASSED,
+    key: str = corpus.VERDICT_KEY,
+) -> str:
     """CTEs that walk each file's plans in order, with the verdicts of the corpus."""
     simple = _first("mid", "split_part(original_snippet, chr(10), 1)", "split_part(target_snippet, chr(10), 1)")
     on_failure = (
@@ -220,7 +227,7 @@ def _fold(plans: str, auto_rollback: bool = True) -> str:
         else "mid"
     )
     return f"""verdicts AS (
-  SELECT {corpus.VERDICT_KEY} AS plan_key, {corpus.VERDICT_PASSED} AS passed,
+  SELECT {key} AS plan_key, {passed} AS passed,
     {corpus.VERDICT_OUTPUT} AS output FROM {plans}),
 ordered AS (
   SELECT p.*, coalesce(v.passed, true) AS passed, v.output,
@@ -463,6 +470,13 @@ SELECT * FROM findings""",
     "path_list_scan": f"WITH {FILES},\n{BASE},\n{LISTED},\n{_sources('visited', 'true')}\n"
     + _metrics("repo, path", "content", "source_files"),
     "plans": f"{FULL_SCAN},\n{REPAIR_PLANS}\nSELECT * FROM repair_plans",
+    "gated_plans": f"{FULL_SCAN},\n{REPAIR_PLANS}\nSELECT plan_key, repo, path, seq FROM repair_plans WHERE {WITHIN}",
+    "edited_files_budget": f"""{FULL_SCAN},
+{REPAIR_PLANS},
+gated AS (SELECT * FROM repair_plans WHERE {WITHIN}),
+{_fold('gated')},
+{LAST}
+SELECT repo, path, version, content FROM last_state""",
     "degraded_plan": f"""WITH {EVENT_PLANS}
 SELECT plan_key, repo, path, seq, 'inline-fix' AS strategy, split_part(original_snippet, chr(10), 1) AS original_snippet,
   split_part(target_snippet, chr(10), 1) AS target_snippet, line_start, line_end,
@@ -497,6 +511,17 @@ SELECT repo, path, previous AS content, sha256(previous) AS sha256 FROM last_sta
     "outcomes": f"""{EVENT_FOLD}
 SELECT repo, path, seq, plan_key, NOT missing AND NOT unknown AS success,
   NOT missing AND NOT unknown AND NOT passed AND strategy <> 'restructure' AS rolled_back,
+  {ERRORS.format(more='')} AS error FROM results""",
+    "outcomes_repeated_verdicts": f"""WITH RECURSIVE {FILES},
+{EVENT_PLANS},
+{_fold('event_plans', passed=f"({corpus.VERDICT_PASSED}) AND ({corpus.SECOND_PASSED})", key="plan_key")}
+SELECT repo, path, seq, plan_key, NOT missing AND NOT unknown AS success,
+  NOT missing AND NOT unknown AND NOT passed AND strategy <> 'restructure' AS rolled_back,
+  {ERRORS.format(more='')} AS error FROM results""",
+    "outcomes_untested": f"""WITH RECURSIVE {FILES},
+{EVENT_PLANS},
+{_fold('event_plans', passed="true")}
+SELECT repo, path, seq, plan_key, NOT missing AND NOT unknown AS success, false AS rolled_back,
   {ERRORS.format(more='')} AS error FROM results""",
     "outcomes_left_edited": f"""WITH RECURSIVE {FILES},
 {EVENT_PLANS},
@@ -551,3 +576,4 @@ SELECT run_id, '{{"success":' || success || ',"files_scanned":' || files_scanned
 {SCAN}
 SELECT * FROM findings""",
 }
+ORACLE["py_facts_any_line_end"] = ORACLE["py_facts"]

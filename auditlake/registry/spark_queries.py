@@ -75,6 +75,16 @@ def py_facts(spark, sf_dir):
     )
 
 
+def py_facts_any_line_end(spark, sf_dir):
+    """The same sources with other line ends: a lone CR in some files, CR LF in others."""
+    files = corpus.code_files(spark, sf_dir)
+    ends = F.when(F.crc32("path") % 2 == 0, "\r").otherwise("\r\n")
+    files = files.withColumn("content", F.replace("content", F.lit("\n"), ends))
+    return scan.syntax_facts(inventory.source_files(files, prune=False)).select(
+        "repo", "path", "kind", "line", "end_line", "name", "mutable_defaults", "text"
+    )
+
+
 def findings_union(spark, sf_dir):
     return scan.findings(_scanned(spark, sf_dir))
 
@@ -135,6 +145,24 @@ def plans(spark, sf_dir):
     return repair_plans(findings_union(spark, sf_dir))
 
 
+def _gated(spark, sf_dir):
+    """Plans of the repos within the token budget."""
+    scanned = written(_scanned(spark, sf_dir), "scanned")
+    gate = scan.token_budget_gate(scan.scan_summary(scanned), TOKEN_BUDGET)
+    return repair_plans(scan.findings(scanned), gate=gate)
+
+
+def gated_plans(spark, sf_dir):
+    return _gated(spark, sf_dir).select("plan_key", "repo", "path", "seq")
+
+
+def edited_files_budget(spark, sf_dir):
+    """Files after the repairs of a run whose budget some repos exceed: theirs stay as they are."""
+    made = written(_gated(spark, sf_dir), "plans")
+    log = batch.edit_log(corpus.code_files(spark, sf_dir), made, corpus.verdicts_for(made))
+    return batch.edited_files(log)
+
+
 def degraded_plan(spark, sf_dir):
     return edits.degraded(corpus.event_plans(spark, sf_dir))
 
@@ -197,6 +225,24 @@ def outcomes(spark, sf_dir):
     return batch.outcomes(_event_log(spark, sf_dir))
 
 
+def outcomes_repeated_verdicts(spark, sf_dir):
+    """Tests ran twice after each plan; it stands if both runs passed."""
+    made = corpus.event_plans(spark, sf_dir)
+    twice = made.select(
+        "plan_key", F.expr(corpus.SECOND_PASSED).alias("passed"), F.expr(corpus.VERDICT_OUTPUT).alias("output")
+    ).union(made.select("plan_key", F.expr(corpus.VERDICT_PASSED), F.expr(corpus.VERDICT_OUTPUT)))
+    return batch.outcomes(batch.edit_log(corpus.code_files(spark, sf_dir), made, twice))
+
+
+def outcomes_untested(spark, sf_dir):
+    """Tests switched off: every plan that can be applied stands."""
+    made = corpus.event_plans(spark, sf_dir)
+    log = batch.edit_log(
+        corpus.code_files(spark, sf_dir), made, corpus.verdicts_for(made), run_tests=False
+    )
+    return batch.outcomes(log)
+
+
 def outcomes_left_edited(spark, sf_dir):
     """The same edits without automatic rollback: failed plans stay in the files."""
     made = corpus.event_plans(spark, sf_dir)
@@ -341,6 +387,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "decoded_text": decoded_text,
     "file_metrics": file_metrics,
     "py_facts": py_facts,
+    "py_facts_any_line_end": py_facts_any_line_end,
     "py_bare_except": _one_rule("bare_except"),
     "py_mutable_default": _one_rule("mutable_default"),
     "py_long_function": _one_rule("long_function"),
@@ -361,6 +408,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "incremental_findings": incremental_findings,
     "path_list_scan": path_list_scan,
     "plans": plans,
+    "gated_plans": gated_plans,
+    "edited_files_budget": edited_files_budget,
     "degraded_plan": degraded_plan,
     "edit_inline_fix": _single_edit("inline-fix"),
     "edit_rename": _single_edit("rename"),
@@ -373,6 +422,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rollback_all": rollback_all,
     "outcomes": outcomes,
     "outcomes_left_edited": outcomes_left_edited,
+    "outcomes_repeated_verdicts": outcomes_repeated_verdicts,
+    "outcomes_untested": outcomes_untested,
     "unified_diffs": unified_diffs,
     "snapshot_diffs": snapshot_diffs,
     "diff_lines": diff_lines,

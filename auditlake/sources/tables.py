@@ -10,6 +10,8 @@ from auditlake.session import written
 KEY = ["repo", "path"]
 # Keys up to this many bytes are broadcast; more of them are joined by shuffle.
 BROADCAST_BYTES = 64 * 1024 * 1024
+# What a row of a hashed relation takes besides its strings.
+ROW_BYTES = 100
 
 
 def store_files(files: DataFrame, table: str, buckets: int) -> None:
@@ -36,5 +38,6 @@ def fetch(files: DataFrame, keys: DataFrame, limit: int = BROADCAST_BYTES) -> Da
     shuffled (or bucketed) semi-join if not.
     """
     kept = written(keys.select(*KEY).distinct(), "keys")
-    size = kept.agg(F.sum(F.octet_length("repo") + F.octet_length("path"))).first()[0] or 0
+    row = F.octet_length("repo") + F.octet_length("path") + ROW_BYTES
+    size = kept.agg(F.sum(row)).first()[0] or 0
     return files.join(F.broadcast(kept) if size <= limit else kept, KEY, "left_semi")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from auditlake.functions.udiff import unified_diff
 from auditlake.operators import batch, edits
 
-SAMPLE = '\ndef process(items):\n    try:\n        for item in items:\n            print(item)\n    except:\n        print("error")\n'
+SAMPLE = "import queue\n\n\ndef drain(jobs):\n    while True:\n        try:\n            jobs.get_nowait().run()\n        except:\n            return\n"
 
 PLAN = (
     "plan_key string, repo string, path string, seq int, strategy string, original_snippet string, "
@@ -104,16 +104,16 @@ def test_degraded_plans(spark):
 
 def test_inline_fix_diff(files, spark):
     plans = spark.createDataFrame(
-        [plan("1", "sample.py", "inline-fix", "    except:", "    except Exception:", 5, 5)], PLAN
+        [plan("1", "drain.py", "inline-fix", "        except:", "        except queue.Empty:", 8, 8)], PLAN
     )
-    (row,) = batch.outcomes_with_diff(batch.edit_log(files({"sample.py": SAMPLE}), plans)).collect()
-    assert row.success and row.diff.startswith("--- sample.py\n+++ sample.py\n@@ ")
-    assert "-    except:\n+    except Exception:\n" in row.diff
+    (row,) = batch.outcomes_with_diff(batch.edit_log(files({"drain.py": SAMPLE}), plans)).collect()
+    assert row.success and row.diff.startswith("--- drain.py\n+++ drain.py\n@@ ")
+    assert "-        except:\n+        except queue.Empty:\n" in row.diff
 
 
 def test_rename_diff(files, spark):
-    plans = spark.createDataFrame([plan("1", "o.py", "rename", "old_func", "new_func")], PLAN)
-    log = batch.edit_log(files({"o.py": "def old_func():\n    pass\nold_func()\n"}), plans)
+    plans = spark.createDataFrame([plan("1", "o.go", "rename", "fetchRow", "readRow")], PLAN)
+    log = batch.edit_log(files({"o.go": "row := fetchRow(id)\nlog(row)\nreturn fetchRow(next)\n"}), plans)
     assert batch.outcomes_with_diff(log).first().diff.count("+") == 2 + 3 + 1
 
 

@@ -1,5 +1,7 @@
+import pytest
+
 from auditlake.operators import inventory
-from auditlake.sources.tree import load_tree
+from auditlake.sources.tree import load_tree, unread_files
 
 
 def test_pruning_applies_to_directories_at_any_level(files):
@@ -16,10 +18,15 @@ def test_extensions_and_languages(files):
     assert got == {"a.py": "python", "c.tsx": "typescript", "e.d.ts": "typescript", "f.go": "go", "g.js": "javascript"}
 
 
-def test_size_limit_is_off_unless_asked_for(files):
+def test_no_file_is_too_large(files):
     tree = files({"a.py": "x" * 600_000, "b.py": "x"})
     assert inventory.source_files(tree).count() == 2
-    assert [r.path for r in inventory.source_files(tree, max_bytes=500_000).collect()] == ["b.py"]
+
+
+def test_line_ends_of_any_table(files):
+    tree = files({"a.py": "x = 1\rdef f(a=[]):\r  pass", "b.py": "x\r\ny", "c.py": "x\ny"})
+    got = {r.path: r.content for r in inventory.source_files(tree).collect()}
+    assert got == {"a.py": "x = 1\ndef f(a=[]):\n  pass", "b.py": "x\ny", "c.py": "x\ny"}
 
 
 def test_runner_priority(spark):
@@ -57,3 +64,24 @@ def test_load_tree(spark, tmp_path):
     assert got == {"a.py": "x = 1\n", "deep/er/b.ts": "caf\ufffd\n", "node_modules/c.js": "var x"}
     everything = load_tree(spark, f"file://{tmp_path}", "r", sources_only=False)
     assert {r.path for r in everything.select("path").collect()} == set(contents)
+
+
+def test_many_repositories_in_one_read(spark, tmp_path):
+    for name in ("one/a.py", "one/src/b.go", "two/a.py", "stray.py"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    got = sorted(tuple(r) for r in load_tree(spark, str(tmp_path), None).select("repo", "path", "content").collect())
+    assert got == [("one", "a.py", "one/a.py"), ("one", "src/b.go", "one/src/b.go"), ("two", "a.py", "two/a.py")]
+
+
+def test_vanished_files_fail_unless_skipping_is_asked_for(spark, tmp_path):
+    for name in ("a.py", "b.py"):
+        (tmp_path / name).write_text(name)
+    strict = load_tree(spark, str(tmp_path), "r")
+    lenient = load_tree(spark, str(tmp_path), "r", skip_unreadable=True)
+    loaded = spark.createDataFrame([("r", "a.py")], "repo string, path string")
+    assert [r.path for r in unread_files(spark, str(tmp_path), "r", loaded).collect()] == ["b.py"]
+    (tmp_path / "b.py").unlink()  # listed before, gone when it is read
+    assert [r.path for r in lenient.collect()] == ["a.py"]
+    with pytest.raises(Exception):
+        strict.collect()

@@ -19,12 +19,13 @@ def found(files_df, *columns):
 
 
 def test_discovers_supported_files(files):
-    tree = files({"hello.py": "x = 1\n", "main.ts": "const x: number = 1;\n", "ignored.js": "var x = 1;\n", "README.md": "#\n"})
-    assert {r.path for r in inventory.source_files(tree).collect()} == {"hello.py", "main.ts", "ignored.js"}
+    wanted = {"jobs/nightly.py", "ui/grid.tsx", "ui/legacy.js", "cmd/serve.go"}
+    tree = files({p: "\n" for p in wanted} | {"docs/notes.txt": "a", "Makefile": "all:\n", "jobs/nightly.pyc": "b"})
+    assert {r.path for r in inventory.source_files(tree).collect()} == wanted
 
 
 def test_unsupported_files_are_not_scanned(files):
-    tree = files({"binary.bin": "\x00\x01", "data.json": "{}"})
+    tree = files({"logo.svg": "<svg/>", "conf/site.toml": "a = 1", "lib.so": "\x7fELF"})
     assert scan.scan_files(inventory.source_files(tree)).count() == 0
 
 
