@@ -345,18 +345,24 @@ repair_diffs AS (
         ELSE ' ' || b[j] END || CASE WHEN j < len(b) THEN chr(10) ELSE '' END), '') AS diff
   FROM (SELECT *, CASE WHEN hi = lo THEN CAST(lo AS VARCHAR) ELSE lo || ',' || (hi - lo + 1) END AS span FROM spanned))"""
 # An edit that changes nothing, or was rolled back, has no diff to review.
-REPAIR_FOLD = (
-    f"{FULL_SCAN},\n{REPAIR_PLANS},\n{_fold('repair_plans')},\n{REPAIR_DIFFS},\n"
+REPAIR_TAIL = (
+    f"{REPAIR_PLANS},\n{_fold('repair_plans')},\n{REPAIR_DIFFS},\n"
     "code_diffs AS (SELECT plan_key AS diff_id, diff FROM repair_diffs),\n"
     f"{DIFF_PARSE},\n{COMMENTS},\n{REPORTS},\n"
     "reviewed AS (SELECT r.repo, r.path, r.plan_key, r.before <> r.after AS stands, coalesce(d.approved, false) AS approved "
     "FROM results r LEFT JOIN reports d ON d.diff_id = r.plan_key)"
 )
 
+REPAIR_FOLD = f"{FULL_SCAN},\n{REPAIR_TAIL}"
+INCREMENTAL_SCAN = (
+    f"WITH RECURSIVE {FILES},\n{BASE},\n{CHANGES},\n{INCREMENTAL},\n{_sources('visited', 'true')},\n{SCAN},\n{SUMMARY}"
+)
+
 
-def _run_report(budget: int | None) -> str:
+def _run_report(budget: int | None, scanned: str = FULL_SCAN) -> str:
     tripped = f"tokens > {budget}" if budget else "false"
-    return f"""{REPAIR_FOLD},
+    return f"""{scanned},
+{REPAIR_TAIL},
 runs AS (
   SELECT s.repo, s.files_scanned, s.findings, s.tokens, {tripped} AS tripped,
     {tripped} OR s.findings = 0 AS early, coalesce(r.attempted, 0) AS attempted, CAST(coalesce(r.approved, 0) AS BIGINT) AS approved
@@ -565,6 +571,17 @@ SELECT repo, path, seq, plan_key, diff FROM repair_diffs""",
 SELECT r.repo, r.path, r.plan_key, r.approved, d.score, d.summary
 FROM reviewed r JOIN reports d ON d.diff_id = r.plan_key""",
     "run_report": f"{_run_report(None)}\nSELECT {REPORT_COLUMNS} FROM report",
+    "incremental_run_report": f"{_run_report(TOKEN_BUDGET, INCREMENTAL_SCAN)}\nSELECT {REPORT_COLUMNS} FROM report",
+    "repair_bodies": f"""{REPAIR_FOLD}
+SELECT r.plan_key, '## Auto-Review' || chr(10) || chr(10) || '**Status:** '
+  || CASE WHEN r.approved THEN '✅ Approved' ELSE '❌ Changes Requested' END || chr(10)
+  || '**Score:** ' || CASE WHEN r.stands THEN d.score ELSE 0 END || '/100' || chr(10) || chr(10)
+  || '### Refactoring Summary' || chr(10) || 'Repair of ' || r.path || chr(10) || chr(10) || '### Review Comments' || chr(10)
+  || coalesce(b.listed, chr(10) || 'No issues found. Clean refactoring.') AS body
+FROM reviewed r LEFT JOIN reports d ON d.diff_id = r.plan_key LEFT JOIN (
+  SELECT diff_id, string_agg(chr(10) || '- **[' || upper(severity) || ']** (' || file || '): ' || message
+    || chr(10) || '  → ' || suggestion, '' ORDER BY pos) AS listed
+  FROM comments GROUP BY diff_id) b ON b.diff_id = r.plan_key""",
     "run_report_budget": f"{_run_report(TOKEN_BUDGET)}\nSELECT {REPORT_COLUMNS} FROM report",
     "run_report_json": f"""{_run_report(None)}
 SELECT run_id, '{{"success":' || success || ',"files_scanned":' || files_scanned || ',"findings":' || findings

@@ -16,6 +16,7 @@ from auditlake.functions.text import decode, extension
 from auditlake.functions.udiff import unified_diff
 from auditlake.operators import batch, edits, inventory, report, review, scan
 from auditlake.plans.repair import repair_plans
+from auditlake.plans.run import audit_run
 from auditlake.registry import corpus
 from auditlake.session import fresh_dir, written
 from auditlake.sources import snapshots
@@ -364,6 +365,24 @@ def run_report_budget(spark, sf_dir):
     return report.run_report(scanned, reports, budget=TOKEN_BUDGET, duration=F.lit(RUN_SECONDS))
 
 
+def incremental_run_report(spark, sf_dir):
+    """The default run: what changed since the base snapshot, under a token budget."""
+    return audit_run(
+        corpus.code_files(spark, sf_dir),
+        base=corpus.code_files(spark, sf_dir, "base"),
+        verdicts=corpus.verdicts_for,
+        budget=TOKEN_BUDGET,
+        duration=F.lit(RUN_SECONDS),
+    ).report
+
+
+def repair_bodies(spark, sf_dir):
+    """The review text of every repair, rejected ones included."""
+    run = audit_run(corpus.code_files(spark, sf_dir), verdicts=corpus.verdicts_for)
+    about = F.concat(F.lit("Repair of "), F.col("path"))
+    return review.review_bodies(run.reports, about, keys=("plan_key",))
+
+
 def run_report_json(spark, sf_dir):
     return report.as_json(run_report(spark, sf_dir))
 
@@ -442,6 +461,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "failed_reports": failed_reports,
     "run_report": run_report,
     "run_report_budget": run_report_budget,
+    "incremental_run_report": incremental_run_report,
+    "repair_bodies": repair_bodies,
     "run_report_json": run_report_json,
     "stream_findings": stream_findings,
 }
