@@ -113,7 +113,7 @@ def test_local_joins():
             if len(members) > 1:
                 ids, n, position = map(np.array, zip(*members))
                 edges += triejoin.candidate_links(
-                    ids, n, position, [np.frombuffer(triejoin.bitmap(sequences[i]), np.uint8) for i in ids], threshold
+                    ids, n, position, [np.frombuffer(triejoin.bitmap(sequences[i], percent), np.uint8) for i in ids], threshold
                 )
         assert same(groups(want)) <= same(groups(edges))
 
