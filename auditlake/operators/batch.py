@@ -213,6 +213,8 @@ def _walker(run_tests: bool, auto_rollback: bool, segment_size: int):
                 text, previous, version, segment, room = None, None, 0, -1, 0
                 searched = None
             if row["is_file"]:
+                if text is not None:
+                    raise ValueError(f"two contents for {file}: choose one snapshot")
                 text = row["content"]
                 continue
             strategy = row["strategy"]
@@ -312,6 +314,7 @@ def edit_log(
 
     ``verdicts(plan_key, passed, output)`` tells how the tests went after a plan;
     a plan without a verdict passes, and one with several passes if all of them do.
+    ``files`` holds one snapshot; two rows for a file end the job.
     The log keeps the whole output; errors quote its start.  Only files that have plans
     are shuffled, each content once.
     """

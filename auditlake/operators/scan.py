@@ -81,8 +81,9 @@ def findings_of(sources: DataFrame, rule: str) -> DataFrame:
     )
 
 
-def scan_summary(scanned: DataFrame) -> DataFrame:
-    return scanned.groupBy("repo").agg(
+def scan_summary(scanned: DataFrame, *keys: str) -> DataFrame:
+    """One row per repo, or per repo and ``keys``: pass "snapshot" where a table holds several."""
+    return scanned.groupBy("repo", *keys).agg(
         F.count("*").alias("files_scanned"),
         F.sum("n_lines").alias("lines_analyzed"),
         F.sum("est_tokens").alias("tokens"),

@@ -448,6 +448,18 @@ FROM py_lines WHERE kind IS NOT NULL""",
     },
     "findings_union": f"{FULL_SCAN}\nSELECT * FROM findings",
     "scan_summary": f"{FULL_SCAN}\nSELECT * FROM summary",
+    "scan_summary_snapshots": f"""WITH RECURSIVE {FILES},
+{BASE},
+both_files AS (
+  SELECT repo, path, content, 'current' AS snapshot FROM code_files
+  UNION ALL SELECT repo, path, content, 'base' FROM base_files),
+code_files_by_snapshot AS (
+  SELECT concat(snapshot, '/', repo) AS repo, path, content FROM both_files),
+{_sources('code_files_by_snapshot')},
+{SCAN},
+{SUMMARY}
+SELECT split_part(repo, '/', 2) AS repo, split_part(repo, '/', 1) AS snapshot,
+  files_scanned, lines_analyzed, tokens, findings FROM summary""",
     "severity_counts": _severities("true"),
     "js_severity": _severities("rule IN ('js_var', 'js_console')"),
     "token_budget": f"""{FULL_SCAN}

@@ -103,6 +103,16 @@ def js_severity(spark, sf_dir):
     return scan.severity_counts(scan.findings(scan.scan_files(js))).drop("rank")
 
 
+def scan_summary_snapshots(spark, sf_dir):
+    """Two snapshots in one table, summed up apart."""
+    both = [
+        corpus.code_files(spark, sf_dir, name).withColumn("snapshot", F.lit(name))
+        for name in ("current", "base")
+    ]
+    sources = inventory.source_files(both[0].unionByName(both[1]))
+    return scan.scan_summary(scan.scan_files(sources, "snapshot"), "snapshot")
+
+
 def token_budget(spark, sf_dir):
     return scan.token_budget_gate(scan_summary(spark, sf_dir), TOKEN_BUDGET)
 
@@ -417,6 +427,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "go_ignored_error": _one_rule("go_ignored_error"),
     "findings_union": findings_union,
     "scan_summary": scan_summary,
+    "scan_summary_snapshots": scan_summary_snapshots,
     "severity_counts": severity_counts,
     "js_severity": js_severity,
     "token_budget": token_budget,

@@ -257,3 +257,19 @@ def test_results_do_not_depend_on_partitioning(files, spark):
         results.append(sorted(batch.outcomes_with_diff(log).collect()))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert results[0] == results[1]
+
+
+def test_two_contents_for_a_file_are_refused(files, spark):
+    plans = spark.createDataFrame([plan("1", "a.py", "rename", "x", "y")], PLAN)
+    twice = files({"a.py": "x"}).union(files({"a.py": "x x"}))
+    with pytest.raises(Exception, match="two contents"):
+        batch.edit_log(twice, plans).collect()
+
+
+def test_several_verdicts_are_one(files, spark):
+    plans = spark.createDataFrame([plan("1", "a.py", "rename", "x", "y"), plan("2", "b.py", "rename", "x", "y")], PLAN)
+    rows = [("1", True, "ok"), ("1", False, "e" * 300), ("2", True, "ok"), ("2", None, None)]
+    verdicts = spark.createDataFrame(rows, "plan_key string, passed boolean, output string")
+    log = batch.edit_log(files({"a.py": "x", "b.py": "x"}), plans, verdicts, auto_rollback=False)
+    got = {r.plan_key: (r.success, r.output) for r in log.filter("is_outcome").collect()}
+    assert got == {"1": (False, "e" * 300), "2": (True, "ok")}
