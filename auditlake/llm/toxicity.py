@@ -109,7 +109,7 @@ class CumulativeLink:
         value = np.log(a / max(1, toxic.sum()) * max(1, (~toxic).sum()) / b)
         w = np.zeros(len(used))
         # Thresholds as a first one and positive gaps, so that they stay ordered.
-        shares = np.array([(grades > k).mean() if len(grades) else 0.5 for k in range(top)])
+        shares = np.array([(grades > k).mean() if len(grades) else 0.0 for k in range(top)])
         theta = -np.log(np.clip(shares, 1e-4, 1 - 1e-4) / np.clip(1 - shares, 1e-4, 1))
         free = np.concatenate([theta[:1], np.log(np.maximum(np.diff(theta), 0.05))])
         m = [np.zeros_like(w), np.zeros_like(free)]
