@@ -17,8 +17,10 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from auditlake.operators import batch, inventory, report, review, scan  # noqa: E402
+from __spark_entry__ import queries as registered  # noqa: E402
+from auditlake.operators import batch, edits, inventory, report, review, scan  # noqa: E402
 from auditlake.plans.repair import repair_plans  # noqa: E402
+from auditlake.plans.run import audit_run  # noqa: E402
 from auditlake.registry import corpus  # noqa: E402
 from auditlake.session import build_session, written  # noqa: E402
 from auditlake.sources import snapshots  # noqa: E402
@@ -57,8 +59,8 @@ def main() -> None:
     def whole_run():
         scanned = written(scan.scan_files(sources), "scanned")
         made = written(repair_plans(scan.findings(scanned)), "plans")
-        edits = batch.edit_log(files, made, corpus.verdicts_for(made))
-        return report.run_report(scanned, review.outcome_reports(batch.outcomes_with_diff(edits)))
+        log = batch.edit_log(files, made, corpus.verdicts_for(made))
+        return report.run_report(scanned, review.outcome_reports(batch.outcomes_with_diff(log)))
 
     queries = {
         "line_rules": lambda: scan.findings(
@@ -77,6 +79,11 @@ def main() -> None:
         "unified_diffs": lambda: batch.outcomes_with_diff(log),
         "review_reports": lambda: review.review_reports(diffs),
         "run_report": whole_run,
+        "edit_inline_fix": lambda: edits.apply_each(
+            files, plans.filter(F.col("strategy") == "inline-fix")
+        ),
+        "path_list": lambda: snapshots.listed_scan_set(files, base.select("repo", "path")),
+        "incremental_run": lambda: audit_run(files, base=base, verdicts=corpus.verdicts_for).report,
     }
 
     def run(build) -> float:
@@ -92,6 +99,13 @@ def main() -> None:
     def total(df, column) -> int:
         return df.agg(F.sum(column)).first()[0]
 
+    # The operators on training text over the given tables, once each, where they are present.
+    text = {
+        name: round(run(lambda: query(spark, SF_DIR)), 3)
+        for name, query in registered().items()
+        if name == "pipeline" or name.startswith("op")
+    }
+
     code = sources.filter(F.col("language") != "python")
     sizes = {
         "line_rules": ("lines", total(code, F.size(F.split("content", "\n")))),
@@ -110,6 +124,7 @@ def main() -> None:
                 "unit": "sec",
                 "queries": seconds,
                 "rates": rates,
+                "text_queries": text,
                 "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf"),
             }
         )
