@@ -131,8 +131,12 @@ mentions AS (
 near AS (
   SELECT DISTINCT doc_id, entity, around, term FROM (
     SELECT doc_id, entity, around, unnest(string_split_regex(around, '{_TERM}')) AS term FROM mentions) WHERE length(term) > 2),
-pairs AS (
-  SELECT term, entity, count(DISTINCT doc_id) AS n_te FROM near GROUP BY ALL HAVING count(DISTINCT around) >= 3),
+counted AS (
+  SELECT term, entity, count(DISTINCT around) AS n_c, count(DISTINCT doc_id) AS n_te FROM near GROUP BY ALL),
+contexts AS (SELECT entity, count(DISTINCT around) AS c FROM mentions GROUP BY entity),
+varied AS (
+  SELECT entity FROM counted JOIN contexts USING (entity) GROUP BY entity, c HAVING 2 * sum(n_c * n_c) <= c * sum(n_c)),
+pairs AS (SELECT term, entity, n_te FROM counted WHERE n_c >= 3 AND entity IN (SELECT entity FROM varied)),
 ents AS (SELECT entity, count(DISTINCT doc_id) AS n_e FROM mentions GROUP BY entity),
 vocabulary AS (
   SELECT term, count(DISTINCT doc_id) AS n_t FROM (

@@ -5,8 +5,9 @@ entities. Then an information-theoretic test finds terms that reveal one: over t
 n(t) documents hold the term, n(e) the entity, and n(t, e) hold the term in a context of the
 entity. With PMI = log2(n(t,e) N / (n(t) n(e))) and IC = log2(N / n(e)), a term whose PMI
 reaches ``disclosure`` times IC says nearly as much as the entity itself. A term counts from
-``support`` different contexts on, so that copies of one document prove nothing. Every
-occurrence of such a term in any document is a span of kind "term".
+``support`` different contexts on, and only if the entity's contexts vary (on average, a word
+of one is in at most half of them), so that copies and near copies of one document prove
+nothing. Every occurrence of such a term in any document is a span of kind "term".
 
 Patterns are the plain ones rewritten so that the engine neither recurses nor starts at
 every character of a long run: possessive where nothing that follows could use the
@@ -127,8 +128,13 @@ def telling_terms(docs: DataFrame, spans: DataFrame, disclosure: float, support:
         mentions.select("doc_id", "entity", F.md5("around").alias("context"), F.explode(words_in(F.col("around"))).alias("term"))
         .filter(F.length("term") > 2)
     )
-    contexts = near.select("term", "entity", "context").distinct().groupBy("term", "entity").count()
-    contexts = contexts.filter(F.col("count") >= support).select("term", "entity")
+    counted = near.select("term", "entity", "context").distinct().groupBy("term", "entity").agg(F.count("*").alias("n"))
+    counted = written(counted, "contexts")
+    # In near copies most words of a context are in most contexts; such entities prove nothing.
+    number = mentions.select("entity", F.md5("around").alias("context")).distinct().groupBy("entity").agg(F.count("*").alias("c"))
+    sums = counted.groupBy("entity").agg(F.sum("n").alias("words"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    varied = sums.join(number, "entity").filter(2 * F.col("squares") <= F.col("c") * F.col("words"))
+    contexts = counted.filter(F.col("n") >= support).join(varied.select("entity"), "entity").select("term", "entity")
     together = near.select("term", "entity", "doc_id").distinct().groupBy("term", "entity").agg(F.count("*").alias("n_te"))
     pairs = written(together.join(contexts, ["term", "entity"]).join(entities, "entity"), "pairs")
     candidates = pairs.select("term").distinct()

@@ -259,15 +259,20 @@ def test_telling_terms(spark, docs):
     """A nickname that stands only beside one address is found everywhere, common words aren't."""
     filler = "lorem ipsum letter from who writes today copy same"
     rows = [(i, f"{filler} number {i} goes on and on here") for i in range(60)]
-    rows += [(100 + i, f"letter {i} from Zorro (ann@x.org) who writes number {i} today") for i in range(4)]
+    first = ["tonight", "yesterday", "seldom", "again"]
+    rest = ["who sings all night", "paints old barns red", "keeps nine grey cats", "sails west next spring"]
+    rows += [(100 + i, f"{first[i]} Zorro (ann@x.org) {rest[i]}") for i in range(4)]
+    # Near copies: the contexts differ in a word, the rest of them is the same.
+    rows += [(400 + i, f"Unusual phrase near bob@y.org stays much alike except{i}") for i in range(5)]
     rows += [(200, "nobody but zorro, said so"), (300, "copy ann2@x.org Unico same"), (301, "copy ann2@x.org Unico same"), (302, "copy ann2@x.org Unico same")]
     found = pii.find(docs(rows))
     terms = {r.doc_id: [t.value for t in r.term] for r in found.collect()}
     assert all("Zorro" in terms[100 + i] for i in range(4)) and terms[200] == ["zorro"]
     assert not any("number" in t or "lorem" in t for t in terms.values())
+    assert all(terms[400 + i] == [] for i in range(5))
     assert terms[300] == []  # copies of one context prove nothing
     clean = {r.doc_id: r.text for r in pii.sanitise(docs(rows), found).collect()}
-    assert clean[100].startswith("letter 0 from  ([EMAIL])") and clean[200] == "nobody but , said so"
+    assert clean[100].startswith("tonight  ([EMAIL])") and clean[200] == "nobody but , said so"
     assert clean[0] == rows[0][1]
     assert pii.digest(pii.find(docs(rows).limit(0))).count() == 0
     plan = pii.digest(found)._jdf.queryExecution().toString()
