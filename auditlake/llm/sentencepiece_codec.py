@@ -25,7 +25,7 @@ from auditlake.llm.common import arrow_map
 
 SPACE = "▁"
 STRETCH = re.compile(f"{SPACE}+[^{SPACE}]*")
-REMEMBERED = 600_000  # stretches kept by a worker before it starts afresh
+REMEMBERED = 250_000  # stretches kept by a worker before it starts afresh
 KEPT_LENGTH = 64  # longer stretches aren't kept
 SHORT = 48  # symbols up to which scanning beats a heap
 
