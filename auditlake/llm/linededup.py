@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import hex_long
+from auditlake.session import written
 
 ROLL = 1_000_003  # weight of the line before in the rolling hash
 HASH_DIGITS = 8  # hex digits of a line's hash in it
@@ -36,7 +37,7 @@ def chunked(docs: DataFrame, modulus: int, passage_words: int, key_digits: int)
     rows = rows.select(
         "doc_id",
         "lines",
-        F.transform("digests", lambda d: F.substring(d, 1, key_digits)).alias("keys"),
+        F.transform("digests", lambda d: hex_long(d, key_digits)).alias("keys"),
         F.transform("digests", lambda d: hex_long(d, HASH_DIGITS)).alias("hashes"),
     )
     rolled = F.transform(
@@ -82,7 +83,7 @@ def _words(text: Column) -> Column:
 
 
 def removals(
-    docs: DataFrame, modulus: int = 2, passage_words: int = 50, key_digits: int = 32
+    docs: DataFrame, modulus: int = 2, passage_words: int = 50, key_digits: int = 15
 ) -> DataFrame:
     """(doc_id, first, last): line ranges that repeat an earlier chunk.
 
@@ -101,6 +102,7 @@ def removals(
     chunks = chunks.filter(F.col("keys").isNotNull()).withColumn("place", place.cast("decimal(38,0)"))
     repeated = chunks.groupBy("keys").agg(F.count("*").alias("n"), F.min("place").alias("keeper"))
     again = chunks.join(repeated.filter("n > 1"), "keys").filter(F.col("place") != F.col("keeper"))
+    again = written(again.select("place", "doc_id", "first", "last", "keys"), "repeats")
     doubtful = again.select("place", F.explode("keys").alias("key")).join(unclear, "key", "left_semi")
     return again.join(doubtful.select("place").distinct(), "place", "left_anti").select("doc_id", "first", "last")
 
