@@ -2,19 +2,23 @@
 
 First the base kinds by pattern: email, ip, card, phone. Their values are the protected
 entities. Then an information-theoretic test finds terms that reveal one: over the corpus,
-n(t) documents hold the term, n(e) the entity, and n(t, e) hold the term in a context of the
-entity. With PMI = log2(n(t,e) N / (n(t) n(e))) and IC = log2(N / n(e)), a term whose PMI
-reaches ``disclosure`` times IC says nearly as much as the entity itself. A term counts from
-``support`` different contexts on, and only if the entity's contexts vary (on average, a word
-of one is in at most half of them), so that copies and near copies of one document prove
-nothing. Every occurrence of such a term in any document is a span of kind "term".
+n(t) documents hold the term, n(e) the entity, and n(t, e) hold both, wherever they stand in
+the text. With PMI = log2(n(t,e) N / (n(t) n(e))) and IC = log2(N / n(e)), a term whose PMI
+reaches ``disclosure`` times IC says nearly as much as the entity itself. Terms may have any
+length; the entity's own characters are taken out of the text first.
+
+A term counts from ``support`` different documents of the entity on, or from as many different
+contexts in one document. Copies of a text have one vote, and so has a family of near copies:
+texts four fifths of whose word triples stand in other texts of the entity, by the triple that
+most of these hold. All copies count in n(t), n(e) and n(t, e). Every occurrence of such a term
+in any document is a span of kind "term".
 
 Patterns are the plain ones rewritten so that the engine neither recurses nor starts at
 every character of a long run: possessive where nothing that follows could use the
 characters given back, and starting only where the plain pattern could match first.
 
-DataFrame functions only. Texts are scanned in place; what moves are spans, contexts
-and words met in contexts.
+DataFrame functions only. Texts are scanned in place; what moves are spans, contexts, the
+texts that mention an entity, and partial counts of words.
 """
 
 from __future__ import annotations
@@ -85,8 +89,8 @@ def located(text: Column, pattern: str, matches: Column) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, email, ip, card, phone, contexts): arrays of (start, end, value), and what
-    stands around each mention."""
+    """(doc_id, email, ip, card, phone, contexts, body): arrays of (start, end, value), what
+    stands around each mention, and the text in lower case if there is any mention."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
     none = F.array().cast("array<string>")
@@ -113,35 +117,81 @@ def base_spans(docs: DataFrame) -> DataFrame:
         )
 
     contexts = F.concat(*(F.transform(kind, _of(context, kind)) for kind in KINDS))
-    return rows.select("doc_id", *KINDS, contexts.alias("contexts"))
+    body = F.when(F.size("contexts") > 0, F.lower("text"))
+    return rows.select("doc_id", *KINDS, "text", contexts.alias("contexts")).withColumn("body", body).drop("text")
 
 
 def words_in(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(F.lower(text), TERM_BREAK)), "")
 
 
-def telling_terms(docs: DataFrame, spans: DataFrame, disclosure: float, support: int) -> DataFrame:
-    """Terms, one a row, that reveal a protected entity."""
-    mentions = spans.select("doc_id", F.explode("contexts").alias("c")).select("doc_id", "c.*")
-    entities = mentions.select("entity", "doc_id").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+def few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= SMALL_TABLE else rows
+
+
+def with_families(copies: DataFrame) -> DataFrame:
+    """``copies`` (entity, copy, n, body) with the family that has one vote."""
+    words = F.filter(F.split("body", TERM_BREAK), lambda w: w != "")
+    hashes = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size("words") - 3, F.lit(0))),
+        lambda i: F.xxhash64(F.array_join(F.slice("words", i + 1, F.lit(3)), " ")),
+    )
+    runs = copies.select("entity", "copy", words.alias("words"))
+    runs = runs.select("entity", "copy", F.explode_outer(F.array_distinct(hashes)).alias("run"))
+    often = runs.groupBy("entity", "run").agg(F.count("*").alias("m"))
     near = (
-        mentions.select("doc_id", "entity", F.md5("around").alias("context"), F.explode(words_in(F.col("around"))).alias("term"))
-        .filter(F.length("term") > 2)
+        runs.join(often, ["entity", "run"])
+        .groupBy("entity", "copy")
+        .agg(
+            F.count("*").alias("all"),
+            F.count_if(F.col("m") > 1).alias("shared"),
+            F.max(F.struct("m", "run")).alias("top"),
+        )
     )
-    counted = near.select("term", "entity", "context").distinct().groupBy("term", "entity").agg(F.count("*").alias("n"))
-    counted = written(counted, "contexts")
-    # In near copies most words of a context are in most contexts; such entities prove nothing.
-    number = mentions.select("entity", F.md5("around").alias("context")).distinct().groupBy("entity").agg(F.count("*").alias("c"))
-    sums = counted.groupBy("entity").agg(F.sum("n").alias("words"), F.sum(F.col("n") * F.col("n")).alias("squares"))
-    varied = sums.join(number, "entity").filter(2 * F.col("squares") <= F.col("c") * F.col("words"))
-    contexts = counted.filter(F.col("n") >= support).join(varied.select("entity"), "entity").select("term", "entity")
-    together = near.select("term", "entity", "doc_id").distinct().groupBy("term", "entity").agg(F.count("*").alias("n_te"))
-    pairs = written(together.join(contexts, ["term", "entity"]).join(entities, "entity"), "pairs")
-    candidates = pairs.select("term").distinct()
-    if candidates.count() <= SMALL_TABLE:
-        candidates = F.broadcast(candidates)
-    everywhere = docs.select("doc_id", F.explode_outer(words_in(F.coalesce("text", F.lit("")))).alias("term"))
-    terms = everywhere.join(candidates, "term").groupBy("term").agg(F.countDistinct("doc_id").alias("n_t"))
+    near = near.filter(5 * F.col("shared") >= 4 * F.col("all"))
+    near = near.select("entity", "copy", F.col("top.run").cast("string").alias("family"))
+    return copies.join(near, ["entity", "copy"], "left").withColumn("family", F.coalesce("family", "copy"))
+
+
+def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, n_t) of the terms: the documents that hold them, told apart by doc_id."""
+    known = docs.filter(F.col("doc_id").isNotNull())
+    words = known.select("doc_id", F.explode_outer(words_in(F.coalesce("text", F.lit("")))).alias("term"))
+    if known.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        # Added up first, so that no row of a document meets the table of terms.
+        return words.groupBy("term").agg(F.count("*").alias("n_t")).join(few(terms), "term")
+    return words.join(few(terms), "term").groupBy("term").agg(F.countDistinct("doc_id").alias("n_t"))
+
+
+def telling_terms(docs: DataFrame, spans: DataFrame, disclosure: float, support: int) -> DataFrame:
+    """Terms, one a row, that reveal a protected entity."""
+    known = spans.filter(F.col("doc_id").isNotNull())
+    mentions = known.select("doc_id", F.explode("contexts").alias("c")).select("doc_id", "c.*")
+    contexts = mentions.select("doc_id", "entity", F.md5("around").alias("context")).distinct()
+    held = contexts.groupBy("doc_id", "entity").agg(F.count("*").alias("k"))
+    entities = held.groupBy("entity").agg(F.count("*").alias("n_e"), F.max("k").alias("k"))
+    # The others can't have a term with enough votes.
+    entities = written(entities.filter((F.col("n_e") >= support) | (F.col("k") >= support)).drop("k"), "entities")
+    held = held.join(few(entities.select("entity")), "entity")
+    texts = known.filter(F.col("body").isNotNull()).select("doc_id", "body").dropDuplicates(["doc_id"])
+    value = F.expr("substr(entity, instr(entity, ':') + 1)")
+    own = F.replace("body", value, F.lit(" "))
+    copies = held.select("doc_id", "entity").join(texts, "doc_id").select("entity", own.alias("body"))
+    copies = copies.groupBy("entity", F.md5("body").alias("copy")).agg(F.count("*").alias("n"), F.first("body").alias("body"))
+    voters = with_families(written(copies, "copies"))
+    words = voters.select("entity", "family", "n", F.explode(words_in(F.col("body"))).alias("term"))
+    counted = words.groupBy("term", "entity", "family").agg(F.sum("n").alias("n"))
+    counted = counted.groupBy("term", "entity").agg(F.sum("n").alias("n_te"), F.count("*").alias("votes"))
+
+    inside = held.filter(F.col("k") >= support).select("doc_id", "entity")
+    inside = mentions.join(inside, ["doc_id", "entity"]).select("doc_id", "entity", "around").distinct()
+    inside = inside.select("doc_id", "entity", F.explode(words_in(F.col("around"))).alias("term"))
+    inside = inside.groupBy("doc_id", "entity", "term").count().filter(F.col("count") >= support)
+    inside = inside.select("term", "entity").distinct().withColumn("inside", F.lit(True))
+    counted = counted.join(inside, ["term", "entity"], "left")
+    counted = counted.filter((F.col("votes") >= support) | F.col("inside")).select("term", "entity", "n_te")
+    pairs = written(counted.join(entities, "entity"), "pairs")
+    terms = document_counts(docs, pairs.select("term").distinct())
     n = docs.filter(F.col("doc_id").isNotNull()).count()
     pmi = F.log2(F.col("n_te") * float(n) / (F.col("n_t") * F.col("n_e")))
     return (
@@ -154,7 +204,7 @@ def telling_terms(docs: DataFrame, spans: DataFrame, disclosure: float, support:
 
 def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, terms): where the terms stand, in the documents that hold any."""
-    known = F.broadcast(terms) if terms.count() <= SMALL_TABLE else terms
+    known = few(terms)
     hold = docs.select("doc_id", F.explode_outer(words_in(F.coalesce("text", F.lit("")))).alias("term"))
     hold = hold.join(known, "term", "left_semi").groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
     # Documents with telling terms are few; their ids are joined as the planner sees fit.
@@ -187,13 +237,13 @@ def find(docs: DataFrame, disclosure: float = 0.9, support: int = 3) -> DataFram
     has none; repeated rows give repeated results; a null doc_id gets base spans only.
     Documents are told apart by doc_id in all counts; term spans of a repeated doc_id with
     different texts are undefined. With an empty table, or no entity in ``support``
-    different contexts, there are no terms.
+    documents or contexts, there are no terms.
     """
     spans = written(base_spans(docs), "spans")
     terms = written(telling_terms(docs, spans, disclosure, support), "terms")
     placed = term_spans(docs, terms)
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    rows = spans.drop("contexts").join(placed, "doc_id", "left")
+    rows = spans.drop("contexts", "body").join(placed, "doc_id", "left")
     return rows.withColumn("term", F.coalesce("term", none))
 
 

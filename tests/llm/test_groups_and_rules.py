@@ -277,3 +277,14 @@ def test_telling_terms(spark, docs):
     assert pii.digest(pii.find(docs(rows).limit(0))).count() == 0
     plan = pii.digest(found)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_telling_terms_of_templates(spark, docs):
+    """Filled-in templates are different documents, however alike an entity's contexts are."""
+    rows = [(i, f"lorem ipsum letter from who writes today number {i} goes on and on here") for i in range(60)]
+    rows += [(100 + i, f"letter {i} from Zorro (ann@x.org) who writes number {i} today") for i in range(4)]
+    rows += [(200, "nobody but zorro, said so")]
+    rows += [(300 + i, f"Unusual phrase near bob@y.org stays much alike except{i}") for i in range(5)]
+    terms = {r.doc_id: [t.value for t in r.term] for r in pii.find(docs(rows)).collect()}
+    assert all(terms[100 + i] == ["Zorro"] for i in range(4)) and terms[200] == ["zorro"]
+    assert all(terms[300 + i] == [] for i in range(5))  # near copies of one document
