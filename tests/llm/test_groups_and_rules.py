@@ -288,3 +288,16 @@ def test_telling_terms_of_templates(spark, docs):
     terms = {r.doc_id: [t.value for t in r.term] for r in pii.find(docs(rows)).collect()}
     assert all(terms[100 + i] == ["Zorro"] for i in range(4)) and terms[200] == ["zorro"]
     assert all(terms[300 + i] == [] for i in range(5))  # near copies of one document
+
+
+def test_telling_terms_far_from_the_entity(spark, docs):
+    """A name at the head reveals the address at the foot; so does a name of two letters."""
+    filler = "lorem ipsum letter from who writes today"
+    rows = [(i, f"{filler} number {i} goes on and on here") for i in range(60)]
+    for i in range(4):
+        body = " ".join(f"w{i}x{k} {filler}" for k in range(40))
+        rows.append((100 + i, f"Ng greets Quixote {body} ng@x.org"))
+    rows += [(200, "only ng and Quixote know")]
+    terms = {r.doc_id: [t.value for t in r.term] for r in pii.find(docs(rows)).collect()}
+    assert all({"Ng", "Quixote"} <= set(terms[100 + i]) for i in range(4))
+    assert terms[200] == ["ng", "Quixote"] and terms[0] == []
