@@ -2,8 +2,9 @@
 
 Lines are hashed, and a rolling hash over neighbouring line hashes says where a chunk of
 two or more lines ends, so boundaries move with the text and not with its place. Chunks with two
-lines that aren't blank count, and so does a single line as long as a passage
-(``passage_words`` or more). Of all equal chunks the first (smallest doc_id, then position)
+lines that aren't blank count. Beside them every line that isn't blank starts the shortest run
+of lines that reaches a passage (``passage_words`` or more), be it that line alone, so a passage
+is found wherever it stands. Of all equal chunks the first (smallest doc_id, then position)
 stays and the others go.
 
 Equality is a matter of bytes: all lines are grouped by key and whole text once, which
@@ -62,9 +63,26 @@ def chunked(docs: DataFrame, modulus: int, passage_words: int, key_digits: int)
         own = F.slice("lines", c["first"] + 1, c["last"] - c["first"] + 1)
         return F.size(F.filter(own, lambda s: F.trim(s) != "")) >= 2
 
+    rows = rows.withColumn("words", F.transform("lines", _words))
+    rows = rows.withColumn(
+        "filled", F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("words", i) > 0)
+    )
+
+    def run(first: Column, k: Column) -> Column:
+        """Its last line is -1 if the text ends before; a line that counts has a word at least."""
+
+        def add(state: Column, i: Column) -> Column:
+            n = state["n"] + F.get("words", i)
+            last = F.when(n >= passage_words, i).otherwise(-1)
+            more = F.struct(n.alias("n"), last.alias("last"))
+            return F.when(state["last"] >= 0, state).otherwise(more)
+
+        none = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("last"))
+        following = F.slice("filled", k + 1, F.lit(passage_words))
+        return F.struct(first.alias("first"), F.aggregate(following, none, add)["last"].alias("last"))
+
     passages = F.transform(
-        F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: _words(F.get("lines", i)) >= passage_words),
-        lambda i: _struct(i, i),
+        F.filter(F.transform("filled", run), lambda r: r["last"] >= 0), lambda r: _struct(r["first"], r["last"])
     )
     return rows.select(
         "doc_id", "lines", "keys", F.concat(F.filter(F.transform("ends", chunk), several), passages).alias("chunks")
@@ -79,13 +97,13 @@ def _struct(first: Column, last: Column) -> Column:
 
 def _words(text: Column) -> Column:
     """Pieces between runs of blanks; cheap, and enough to tell a passage from a short line."""
-    return F.size(F.split(F.trim(text), " +"))
+    return F.when(F.trim(text) == "", 0).otherwise(F.size(F.split(F.trim(text), " +")))
 
 
 def removals(
     docs: DataFrame, modulus: int = 2, passage_words: int = 50, key_digits: int = 15
 ) -> DataFrame:
-    """(doc_id, first, last): line ranges that repeat an earlier chunk.
+    """(doc_id, first, last): line ranges that repeat an earlier chunk or passage.
 
     ``doc_id`` must tell rows apart.
     """

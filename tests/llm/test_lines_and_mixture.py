@@ -38,6 +38,44 @@ def test_moved_passage_is_found(docs):
     assert got[1][2] == 0 and got[2][2] >= 135
 
 
+def test_passages_of_short_lines(docs):
+    """Fifty words in lines below fifty are found between any neighbours, however few the lines."""
+    rows, want = [], {}
+    for k in range(12):
+        for n in (2, 3, 4):
+            lines = [" ".join(f"p{k}x{n}y{i}w{j}" for j in range(-(-50 // n))) for i in range(n)]
+            lines.insert(1, "")  # a blank line within counts for no words
+            at = len(rows)
+            rows += [(at, "\n".join([f"before {at}", *lines, f"behind {at}"])), (at + 1, "\n".join([f"other {at}", *lines, f"end {at}"]))]
+            want[at + 1] = (f"other {at}\nend {at}", n + 3, n + 1)
+    rows.append((1000, "\n" * 200))
+    got = deduped(docs(rows))
+    assert {k: got[k] for k in want} == want
+    assert all(got[k][2] == 0 for k in range(0, len(want) * 2, 2))
+
+
+def test_passages_against_brute_force(docs):
+    """Without inner chunk ends: whole documents, and from every line the shortest run of 50 words."""
+    rng = random.Random(5)
+    pool = [" ".join(rng.choice(["a", "bc", "def", ""]) for _ in range(rng.choice([1, 9, 20, 30, 60]))) for _ in range(15)]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 8)))) for i in range(80)]
+    seen, want = set(), {}
+    for i, text in rows:
+        lines = text.split("\n")
+        words = [len(line.split()) for line in lines]
+        pieces = [(0, len(lines))] if sum(map(bool, words)) >= 2 else []
+        for first in range(len(lines)):
+            ends = [e for e in range(first + 1, len(lines) + 1) if sum(words[first:e]) >= 50]
+            pieces += [(first, ends[0])] if words[first] and ends else []
+        gone = set()
+        for first, end in sorted(set(pieces)):
+            body = tuple(lines[first:end])
+            gone |= set(range(first, end)) if body in seen else set()
+            seen.add(body)
+        want[i] = ("\n".join(line for k, line in enumerate(lines) if k not in gone), len(lines), len(gone))
+    assert deduped(docs(rows), modulus=2**40) == want
+
+
 def test_equal_keys_of_unequal_bytes(docs):
     rows = [(i, f"{LONG} {i}") for i in range(40)]
     got = deduped(docs(rows), key_digits=1)  # sixteen keys for forty lines
