@@ -55,7 +55,7 @@ def named_words(attributes: str) -> tuple[str, ...]:
     for m in ATTRIBUTE.finditer(attributes):
         name = m[1].lower()
         if name in ("class", "id", "role", "aria-label"):
-            found += NAME.findall((m[2] or m[3] or m[4] or "").lower())[:8]
+            found += dict.fromkeys(NAME.findall((m[2] or m[3] or m[4] or "").lower()))
         elif name == "hidden":
             found.append("hidden")
     return tuple(found)

@@ -120,6 +120,15 @@ def test_sum_product_is_exact(tree_model):
     assert np.allclose(tree_model.marginals(page), ones / total)
 
 
+def test_all_words_of_attributes(tree_model):
+    """The telling class counts wherever it stands among others; repeats count once."""
+    utility = "d-flex flex-column col-md-3 order-2 px-4 py-3 bg-light"
+    found = dom.named_words(f' class="{utility} sidebar" id="a a b"')
+    assert "sidebar" in found and found.count("flex") == 1 and found[-2:] == ("a", "b")
+    far, near = (dom.read(f'<div class="{c}">Some words here.</div>') for c in (f"{utility} sidebar", f"sidebar {utility}"))
+    assert tree_model.marginals(far) == pytest.approx(tree_model.marginals(near))
+
+
 def test_held_out_pages(tree_model):
     wrong = n = 0
     for page, labels in htmltext.labelled_pages(150, seed=91):
