@@ -213,6 +213,33 @@ def test_rules(spark, docs):
     assert perplexity.quality_rules(df.limit(0)).count() == 0
 
 
+def test_every_language_has_its_own_model(spark, docs, monkeypatch):
+    """Beyond the languages whose models are broadcast, documents meet the model of their own."""
+    rng = random.Random(6)
+    rows, langs = [], {}
+    for k in range(perplexity.LANGUAGES + 6):
+        letters = rng.sample("abcdefghijklmnopqrstuvwxyz", 6)
+        pool = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(12)]
+        for j in range(30 if k < perplexity.LANGUAGES else 20):
+            rows.append((len(rows), " ".join(rng.choice(pool) for _ in range(rng.randint(40, 90)))))
+            langs[rows[-1][0]] = f"l{k}"
+    rows += [(9000, rows[0][1]), (9001, None)]  # a text of another language; no text
+    langs |= {9000: f"l{perplexity.LANGUAGES + 5}", 9001: f"l{perplexity.LANGUAGES + 4}"}
+    pairs = spark.createDataFrame(list(langs.items()), "doc_id long, l string")
+    df = docs(rows).drop("lang").join(pairs, "doc_id").withColumnRenamed("l", "lang")
+    got = {r.doc_id: r for r in perplexity.quality_rules(df).collect()}
+    assert {i: r.language for i, r in got.items()} == langs
+    # The same values as by one broadcast of all models, and with parts of a few hundred characters.
+    monkeypatch.setattr(perplexity, "PART", 20_000)
+    parts = {r.doc_id: r for r in perplexity.quality_rules(df).collect()}
+    monkeypatch.setattr(perplexity, "LANGUAGES", 100)
+    whole = {r.doc_id: r for r in perplexity.quality_rules(df).collect()}
+    assert got == parts == whole
+    assert got[9001].log_perplexity is None and not got[9000].kept
+    good = [i for i in langs if i < 9000]
+    assert sum(got[i].kept for i in good) >= 0.95 * len(good)
+
+
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
