@@ -192,3 +192,85 @@ ORACLE = {
     "op7_mixing": "WITH " + mixing_ctes("documents", "3/5", 2, 7) + "SELECT * FROM mixed",
     "op5_exact_top_k": OP5,
 }
+
+
+def _vq_sql(rounds: int = 6, entries: int = 16, parts: int = 8, scale: int = 4096) -> str:
+    """op11: the rounds unrolled, one CTE of assignments and one of entries per round."""
+    ctes = [
+        f"""ok AS (
+  SELECT row_number() OVER () AS rid, vec_id, label,
+    list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(embedding) % {parts} = 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x)
+      AND abs({scale} * CAST(x AS DOUBLE)) < 4503599627370496)) = len(embedding))""",
+        f"""seeds AS MATERIALIZED (
+  SELECT rid, q, CAST(row_number() OVER (ORDER BY vec_id NULLS LAST, q) - 1 AS BIGINT) AS e FROM ok
+  QUALIFY e < {entries})""",
+        "kept AS (SELECT * FROM ok WHERE len(q) = (SELECT len(q) FROM seeds WHERE e = 0))",
+        f"""px AS MATERIALIZED (
+  SELECT rid, i // (len(q) // {parts}) AS p, i % (len(q) // {parts}) AS j, c
+  FROM (SELECT rid, q, unnest(q) AS c, unnest(range(len(q))) AS i FROM kept))""",
+        "cb0 AS MATERIALIZED (SELECT s.e, px.p, px.j, px.c FROM seeds s JOIN px USING (rid))",
+    ]
+    for r in range(rounds + 1):
+        ctes.append(
+            f"""a{r} AS MATERIALIZED (
+  SELECT rid, p, e, d FROM (
+    SELECT px.rid, px.p, cb.e, sum((px.c - cb.c) * (px.c - cb.c)) AS d
+    FROM px JOIN cb{r} cb ON px.p = cb.p AND px.j = cb.j GROUP BY px.rid, px.p, cb.e)
+  QUALIFY row_number() OVER (PARTITION BY rid, p ORDER BY d, e) = 1)"""
+        )
+        if r < rounds:
+            ctes.append(
+                f"""m{r} AS (
+  SELECT a.p, a.e, px.j, sum(px.c) AS s, count(*) AS n FROM a{r} a JOIN px ON a.rid = px.rid AND a.p = px.p
+  GROUP BY a.p, a.e, px.j)"""
+            )
+            ctes.append(
+                f"""cb{r + 1} AS MATERIALIZED (
+  SELECT o.e, o.p, o.j, coalesce(CAST((m.s - ((m.s % m.n) + m.n) % m.n) // m.n AS BIGINT), o.c) AS c
+  FROM cb{r} o LEFT JOIN m{r} m USING (p, e, j))"""
+            )
+    ctes.append(
+        f"""coded AS (
+  SELECT rid, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY rid)"""
+    )
+    ctes.append(f"books AS (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY p, e, j)) AS h FROM cb{rounds})")
+    return (
+        "WITH "
+        + ",\n".join(ctes)
+        + """
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT h FROM books) AS codebooks_sha256, label
+FROM kept JOIN coded USING (rid)
+"""
+    )
+
+
+FIM = """
+WITH s AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+c AS (
+  SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n,
+    CAST(('0x' || substr(h, 1, 8)) AS BIGINT) AS h1, CAST(('0x' || substr(h, 9, 8)) AS BIGINT) AS h2,
+    CAST(('0x' || substr(h, 17, 8)) AS BIGINT) AS h3, CAST(('0x' || substr(h, 25, 8)) AS BIGINT) AS h4
+  FROM s),
+f AS (
+  SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM c),
+p AS (SELECT *, substr(t, 1, lo) AS pre, substr(t, lo + 1, hi - lo) AS mid, substr(t, hi + 1) AS suf FROM f)
+SELECT doc_id, n, form,
+  CASE WHEN form = 'plain' THEN NULL ELSE lo END AS prefix_chars,
+  CASE WHEN form = 'plain' THEN NULL ELSE hi - lo END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+    ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+ORACLE["op11_vector_codes"] = _vq_sql()
+ORACLE["op13_fill_in_middle"] = FIM

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from auditlake.llm import (
     bitslice,
+    fim,
     htmltext,
     linededup,
     mixing,
@@ -17,6 +18,7 @@ from auditlake.llm import (
     sentencepiece_codec,
     toxicity,
     triejoin,
+    vqcodes,
 )
 from auditlake.llm.common import table
 
@@ -87,6 +89,16 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents"), disclosure=0.9, support=3))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vqcodes.compress(
+        table(spark, sf_dir, "embeddings"), scale=4096, parts=8, entries=16, rounds=6, pivots=4
+    )
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fill_in_middle(table(spark, sf_dir, "documents"), spm_percent=20, fim_percent=90)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
@@ -98,4 +110,6 @@ QUERIES = {
     "op10_pii": op10_pii,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_sentencepiece": op6_sentencepiece,
+    "op11_vector_codes": op11_vector_codes,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
