@@ -16,6 +16,7 @@ from auditlake.llm import (
     pii,
     quality,
     sentencepiece_codec,
+    simhash,
     toxicity,
     triejoin,
     vqcodes,
@@ -95,6 +96,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"), width=3, bits=2, parts=4)
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.fill_in_middle(table(spark, sf_dir, "documents"), spm_percent=20, fim_percent=90)
 
@@ -111,5 +116,6 @@ QUERIES = {
     "op5_exact_top_k": op5_exact_top_k,
     "op6_sentencepiece": op6_sentencepiece,
     "op11_vector_codes": op11_vector_codes,
+    "op12_simhash": op12_simhash,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
