@@ -1,23 +1,21 @@
-"""Unified diffs in Arrow workers, with the standard library's ``difflib``."""
+"""Unified diffs of two whole texts in Arrow workers, by the anchor alignment of ``linediff``.
 
-from __future__ import annotations
+For pairs of texts in a table, ``linediff.unified_diffs`` finds the anchors with Spark first;
+this is the same alignment for a text that is at hand in a worker already (the fold of edits).
+"""
 
-import difflib
+from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from auditlake.functions import linediff
+
 
 def diff_text(before: str, after: str, path: str) -> str:
     """Three context lines; both headers carry the bare path."""
-    if before == after:
-        return ""
-    return "".join(
-        difflib.unified_diff(
-            before.splitlines(keepends=True), after.splitlines(keepends=True), path, path
-        )
-    )
+    return linediff.diff_text(linediff.split_lines(before), linediff.split_lines(after), path)
 
 
 @F.arrow_udf(StringType())

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions.text import decode, extension
-from auditlake.functions.udiff import unified_diff
+from auditlake.functions import linediff
 from auditlake.operators import batch, edits, inventory, report, review, scan
 from auditlake.plans.repair import repair_plans
 from auditlake.plans.run import audit_run
@@ -273,7 +273,7 @@ def snapshot_diffs(spark, sf_dir):
     now = corpus.code_files(spark, sf_dir)
     was = corpus.code_files(spark, sf_dir, "base").withColumnRenamed("content", "was")
     both = now.join(was, ["repo", "path"])
-    return both.select("repo", "path", unified_diff("was", "content", "path").alias("diff"))
+    return linediff.unified_diffs(both, ["repo", "path"], "was", "content", "path").select("repo", "path", "diff")
 
 
 def diff_lines(spark, sf_dir):
