@@ -478,6 +478,7 @@ SELECT repo, coalesce(string_agg(DISTINCT linter, ',' ORDER BY linter), '') AS l
   CASE WHEN count(linter) = 0 THEN {_text(NO_LINTER)} END AS message
 FROM (SELECT repo, {LINTER} AS linter FROM markers) GROUP BY repo""",
     "changed_files": f"WITH {FILES},\n{BASE},\n{CHANGES}\nSELECT * FROM changes",
+    "stored_changed_files": f"WITH {FILES},\n{BASE},\n{CHANGES}\nSELECT * FROM changes",
     "incremental_findings": f"""WITH {FILES},
 {BASE},
 {CHANGES},

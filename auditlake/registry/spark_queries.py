@@ -137,6 +137,17 @@ def changed_files(spark, sf_dir):
     return snapshots.changes(current, corpus.code_files(spark, sf_dir, "base"))
 
 
+# Buckets of stored snapshots; both sides of a comparison must have the same number.
+SNAPSHOT_BUCKETS = 16
+
+
+def stored_changed_files(spark, sf_dir):
+    """``changed_files`` of the two snapshots once they are stored as bucketed tables."""
+    now = snapshots.stored(corpus.code_files(spark, sf_dir), "snapshot_current", SNAPSHOT_BUCKETS)
+    was = snapshots.stored(corpus.code_files(spark, sf_dir, "base"), "snapshot_base", SNAPSHOT_BUCKETS)
+    return snapshots.stored_changes(now, was)
+
+
 def incremental_findings(spark, sf_dir):
     visited = snapshots.incremental_scan_set(
         corpus.code_files(spark, sf_dir), corpus.code_files(spark, sf_dir, "base")
@@ -435,6 +446,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "toolchain": toolchain,
     "linters": linters,
     "changed_files": changed_files,
+    "stored_changed_files": stored_changed_files,
     "incremental_findings": incremental_findings,
     "path_list_scan": path_list_scan,
     "plans": plans,

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.operators.inventory import in_excluded_dir
-from auditlake.sources.tables import KEY, fetch
+import uuid
+
+from auditlake.sources.tables import KEY, fetch, store_files
 
 # A repo may hold a third of all files: per-repo facts meet its files under this many salts.
 SALTS = 32
@@ -33,6 +35,22 @@ def changes(current: DataFrame, base: DataFrame) -> DataFrame:
     return joined.select(*KEY, status.alias("status"))
 
 
+def stored(files: DataFrame, label: str, buckets: int) -> DataFrame:
+    """``files`` saved as a table of the warehouse, bucketed and sorted by key, and read back.
+
+    The name is fresh for every call, so runs don't overwrite each other's snapshots.
+    """
+    name = f"{label}_{uuid.uuid4().hex}"
+    store_files(files, name, buckets)
+    return files.sparkSession.table(name)
+
+
+def stored_changes(current: DataFrame, base: DataFrame) -> DataFrame:
+    """``changes`` of two stored snapshots: with the same buckets on both sides, the full
+    outer join reads keys and hashes bucket by bucket and moves no row between tasks."""
+    return changes(current.select(*KEY, "sha256"), base.select(*KEY, "sha256"))
+
+
 def _with_repo_flag(keys: DataFrame, repos: DataFrame) -> DataFrame:
     """Join per-repo rows to file keys, spreading each repo over salts of its paths."""
     salted = keys.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int"))

@@ -97,3 +97,16 @@ def test_one_repo_with_most_files(spark):
     base = [(r, p, "x" if int(c) == 3 else c) for r, p, c in rows]
     got = paths(snapshots.incremental_scan_set(two(spark, rows), two(spark, base)))
     assert got == {(r, p) for r, p, c in rows if c == "3"} | {("cold", "a.py")}
+
+
+def test_stored_snapshots_compare_without_a_shuffle(spark):
+    now = snapshots.stored(two(spark, NOW), "now", 4)
+    was = snapshots.stored(two(spark, WAS), "was", 4)
+    compared = snapshots.stored_changes(now, was)
+    plan = compared._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    plain = snapshots.changes(two(spark, NOW), two(spark, WAS))
+    assert sorted(compared.collect()) == sorted(plain.collect())
+    # Every call stores under a name of its own.
+    again = snapshots.stored(two(spark, NOW), "now", 4)
+    assert sorted(again.collect()) == sorted(now.collect())
