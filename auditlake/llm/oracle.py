@@ -21,7 +21,7 @@ WITH src AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM {doc
 l AS (
   SELECT doc_id, generate_subscripts(lines, 1) - 1 AS i, unnest(lines) AS s FROM src WHERE doc_id IS NOT NULL),
 h AS (
-  SELECT *, CAST('0x' || substr(md5(s), 1, 8) AS BIGINT) AS h, len(string_split_regex(trim(s, ' '), ' +')) >= 50 AS long
+  SELECT *, CAST('0x' || substr(md5(s), 1, 8) AS BIGINT) AS h
   FROM l),
 k AS (
   SELECT *, (coalesce(lag(h) OVER w, 0) * 1000003 + h) % 2 = 0 AS cut, count(*) OVER (PARTITION BY doc_id) AS n
@@ -32,13 +32,25 @@ c AS (
   SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk
   FROM e),
 g AS (
-  SELECT doc_id, chunk, string_agg(s, chr(10) ORDER BY i) AS body, min(i) AS first
+  SELECT doc_id, min(i) AS first, max(i) AS last
   FROM c GROUP BY doc_id, chunk HAVING count(*) FILTER (WHERE trim(s, ' ') <> '') >= 2),
-r AS (SELECT doc_id, chunk, row_number() OVER (PARTITION BY body ORDER BY doc_id, first) > 1 AS chunk_again FROM g),
-p AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1 AS line_again FROM c WHERE long),
+w AS (
+  SELECT doc_id, i, words, sum(words) OVER (PARTITION BY doc_id ORDER BY i) AS upto
+  FROM (SELECT doc_id, i, CASE WHEN trim(s, ' ') = '' THEN 0 ELSE len(string_split_regex(trim(s, ' '), ' +')) END AS words FROM c)),
+filled AS (SELECT doc_id, i, upto FROM w WHERE words > 0),
+runs AS (
+  SELECT st.doc_id, st.i AS first, f.i AS last
+  FROM (SELECT doc_id, i, upto - words + 50 AS need FROM filled JOIN w USING (doc_id, i, upto)) st
+  ASOF JOIN filled f ON st.doc_id = f.doc_id AND st.need <= f.upto),
+pool AS (
+  SELECT p.doc_id, p.first, p.last, array_to_string(src.lines[p.first + 1 : p.last + 1], chr(10)) AS body
+  FROM (SELECT * FROM g UNION ALL SELECT * FROM runs) p JOIN src ON p.doc_id = src.doc_id),
+keepers AS (SELECT body, min(CAST(doc_id AS HUGEINT) * 2147483648 + first) AS keeper FROM pool GROUP BY body),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(first, last)) AS i
+  FROM pool JOIN keepers USING (body) WHERE CAST(doc_id AS HUGEINT) * 2147483648 + first <> keeper),
 x AS (
-  SELECT c.*, coalesce(chunk_again, false) OR coalesce(line_again, false) AS again
-  FROM c LEFT JOIN r ON c.doc_id = r.doc_id AND c.chunk = r.chunk LEFT JOIN p ON c.doc_id = p.doc_id AND c.i = p.i),
+  SELECT c.*, gone.i IS NOT NULL AS again FROM c LEFT JOIN gone ON c.doc_id = gone.doc_id AND c.i = gone.i),
 m AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE again) AS n_removed,
     string_agg(s, chr(10) ORDER BY i) FILTER (WHERE NOT again) AS left_text
