@@ -30,6 +30,7 @@ import itertools
 import math
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,55 +39,54 @@ from auditlake.llm.components import components
 from auditlake.session import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WHITE = "[\\x20\\x09-\\x0D]+"
 # Hashes per slice in a batch: 64 passes over at most this many at a time bound the memory.
 SLICE = 1 << 20
 
 
-def shingle_hashes(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, hs): XXH64 (seed 42) of every shingle of ``width`` words, repeats included.
+LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
-    Only A-Z are lower-cased. Fewer than ``width`` words: one shingle of all; no words (or
-    null text): no shingles.
-    """
-    text = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
-    words = F.filter(F.split(text, WHITE), lambda w: w != "")
-    n = F.size(words)
-    shingles = (
-        F.when(n == 0, F.array().cast("array<string>"))
-        .when(n < width, F.array(F.array_join(words, " ")))
-        .otherwise(
-            F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: F.array_join(F.slice(words, i, width), " "))
-        )
-    )
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.transform(shingles, lambda s: F.xxhash64(s)).alias("hs")
-    )
 
+def shingle_hashes(text: str | None, width: int = 3) -> list[int]:
+    """XXH64 (seed 42, unsigned) of every shingle of ``width`` words, repeats included.
 
-def _fingerprints(source):
-    for batch in source:
-        column = batch.column("hs")
-        flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        offsets = column.offsets.to_numpy()
-        sizes = np.diff(offsets)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        counts = np.zeros((len(sizes), 64), dtype=np.int64)
-        for start in range(0, len(flat), SLICE):
-            part, who = flat[start : start + SLICE], owner[start : start + SLICE]
+    Only A-Z are lower-cased; words are runs of bytes other than ASCII white space
+    (``bytes.split()`` splits on exactly those). Fewer than ``width`` words: one shingle of
+    all; no words (or null text): none.
+    """
+    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWERED).split()
+    if not words:
+        return []
+    if len(words) < width:
+        return [xxhash.xxh64_intdigest(b" ".join(words), seed=42)]
+    return [xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), seed=42) for i in range(len(words) - width + 1)]
+
+
+def _fingerprints(width: int):
+    def run(source):
+        for batch in source:
+            hashes = [shingle_hashes(t, width) for t in batch.column("text").to_pylist()]
+            sizes = np.array([len(h) for h in hashes], dtype=np.int64)
+            flat = np.fromiter(itertools.chain.from_iterable(hashes), dtype=np.uint64, count=int(sizes.sum()))
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            counts = np.zeros((len(sizes), 64), dtype=np.int64)
+            for start in range(0, len(flat), SLICE):
+                part, who = flat[start : start + SLICE], owner[start : start + SLICE]
+                for b in range(64):
+                    bit = ((part >> np.uint64(b)) & np.uint64(1)).astype(np.int64)
+                    counts[:, b] += np.bincount(who, weights=bit, minlength=len(sizes)).astype(np.int64)
+            fp = np.zeros(len(sizes), dtype=np.uint64)
             for b in range(64):
-                counts[:, b] += np.bincount(who, weights=(part >> np.uint64(b)) & np.uint64(1), minlength=len(sizes)).astype(
-                    np.int64
-                )
-        fp = np.zeros(len(sizes), dtype=np.uint64)
-        for b in range(64):
-            fp |= (2 * counts[:, b] > sizes).astype(np.uint64) << np.uint64(b)
-        yield {"doc_id": batch.column("doc_id"), "fp": fp.view(np.int64)}
+                fp |= (2 * counts[:, b] > sizes).astype(np.uint64) << np.uint64(b)
+            yield {"doc_id": batch.column("doc_id"), "fp": fp.view(np.int64)}
+
+    return run
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp): the 64-bit fingerprint as a signed long; zero for a text without words."""
-    return arrow_map(shingle_hashes(docs, width), _fingerprints, "doc_id long, fp long")
+    """(doc_id, fp): the 64-bit fingerprint as a signed long; zero for a text without words.
+    Shingles are hashed in Arrow batches, one document's list at a time."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return arrow_map(rows, _fingerprints(width), "doc_id long, fp long")
 
 
 def _bit_matrix(source):

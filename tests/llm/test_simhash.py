@@ -59,11 +59,16 @@ def test_groups_against_all_pairs(spark, docs):
     assert len(got) == len(rows)
 
 
-def test_fingerprint_hash_is_xxh64_seed_42(spark, docs):
-    text = "Alpha beta gamma delta"
-    (row,) = simhash.shingle_hashes(docs([(1, text)])).collect()
-    want = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in ("alpha beta gamma", "beta gamma delta")]
-    assert [h % 2**64 for h in row.hs] == want
+def test_shingle_hashes_agree_with_spark_xxhash64(spark):
+    from pyspark.sql import functions as F
+
+    got = simhash.shingle_hashes("Alpha  beta\tGAMMA delta Ünï")
+    shingles = ["alpha beta gamma", "beta gamma delta", "gamma delta Ünï"]
+    df = spark.createDataFrame([(s,) for s in shingles], "s string")
+    spark_hashes = [r[0] % 2**64 for r in df.select(F.xxhash64("s")).collect()]
+    assert got == spark_hashes
+    assert simhash.shingle_hashes("one Two") == [xxhash.xxh64_intdigest(b"one two", seed=42)]
+    assert simhash.shingle_hashes(None) == simhash.shingle_hashes(" \n ") == []
 
 
 def test_thresholds_meet_the_pigeonhole_bound():
