@@ -9,7 +9,10 @@ looked up, not assumed), so no merge crosses a word's start and each stretch
 from one word start to the next is encoded once and remembered for a while.
 
 The work is in Arrow batches; every stretch that a batch brings anew is encoded
-by the library too, and a difference ends the job.
+by the library too. Where the two differ, the library's ids are taken and the stretch is
+counted in the document's ``n_disagreed``. A worker remembers each stretch as one string,
+its ids in decimal joined by commas (a leading "!" marks a disagreement): one object per
+stretch, which is what the ids digest needs anyway; ids are read back from it per document.
 """
 
 from __future__ import annotations
@@ -25,13 +28,13 @@ from auditlake.llm.common import arrow_map
 
 SPACE = "▁"
 STRETCH = re.compile(f"{SPACE}+[^{SPACE}]*")
-REMEMBERED = 250_000  # stretches kept by a worker before it starts afresh
+REMEMBERED = 600_000  # stretches kept by a worker before it starts afresh
 KEPT_LENGTH = 64  # longer stretches aren't kept
 SHORT = 48  # symbols up to which scanning beats a heap
 
 
 # What a worker process has encoded before, by model file; it outlives a task.
-_KNOWN: dict[str, tuple[MergeCodec, dict[str, tuple[list[int], str]]]] = {}
+_KNOWN: dict[str, tuple[MergeCodec, dict[str, str]]] = {}
 
 
 class MergeCodec:
@@ -136,15 +139,19 @@ class MergeCodec:
         parts.append(run.decode("utf-8", "replace"))
         return "".join(parts).removeprefix(" ")
 
-    def checked(self, stretches: list[str]) -> list[list[int]]:
-        """Ids of new stretches by the agenda, compared with the library's."""
+    def checked(self, stretches: list[str]) -> list[tuple[list[int], bool]]:
+        """Ids of new stretches by the agenda, each with whether the library's differ; where
+        they differ, the library's ids are given."""
         own = list(map(self.stretch_ids, stretches))
         # The library puts the first word start before the text itself, but before no text none.
         texts = [s[1:].replace(SPACE, " ") for s in stretches]
         theirs = self.library.encode(texts, num_threads=1)
-        if [t if text else [self.library.piece_to_id(SPACE)] for t, text in zip(theirs, texts)] != own:
-            raise ValueError("the agenda and the library disagree")
-        return own
+        lone = self.library.piece_to_id(SPACE)
+        out = []
+        for mine, their, text in zip(own, theirs, texts, strict=True):
+            their = their if text else [lone]
+            out.append((mine, False) if mine == their else (their, True))
+        return out
 
 
 def encode_documents(docs: DataFrame, model_file: str, digests: bool = True) -> DataFrame:
@@ -152,8 +159,11 @@ def encode_documents(docs: DataFrame, model_file: str, digests: bool = True) ->
 
     Takes ``doc_id`` and ``text``; other columns are ignored whatever their names.
     Returns doc_id, n_tokens, and with ``digests`` the hashes of the ids and of the
-    decoded text, else ``ids`` and ``decoded`` themselves. A null or empty text has no
-    ids and decodes to an empty text; repeated rows give repeated results.
+    decoded text, else ``ids`` and ``decoded`` themselves; n_disagreed counts the text's
+    stretches on which the agenda and the library differed (the library's ids stand). A null
+    or empty text has no ids and decodes to an empty text; repeated rows give repeated
+    results. Very long texts are whole: they are encoded stretch by stretch. An empty table
+    gives an empty result.
     ``model_file`` is a path at which each worker finds the vocabulary.
     """
 
@@ -162,7 +172,7 @@ def encode_documents(docs: DataFrame, model_file: str, digests: bool = True) ->
             _KNOWN[model_file] = MergeCodec(model_file), {}
         codec, known = _KNOWN[model_file]
         for batch in batches:
-            out = {"doc_id": batch["doc_id"], "n_tokens": [], "first": [], "second": []}
+            out = {"doc_id": batch["doc_id"], "n_tokens": [], "n_disagreed": [], "first": [], "second": []}
             rows = batch["text"]
             for at in range(0, len(rows), 256):
                 texts = [codec.stretches(t or "") for t in rows[at : at + 256].to_pylist()]
@@ -170,18 +180,17 @@ def encode_documents(docs: DataFrame, model_file: str, digests: bool = True) ->
                 if len(known) + len(fresh) > REMEMBERED:
                     known.clear()
                     fresh = list({s for t in texts for s in t})
-                new = dict(
-                    (s, (ids, ",".join(map(str, ids))))
-                    for s, ids in zip(fresh, codec.checked(fresh))
-                )
-                known.update(new)
+                for s, (ids, differs) in zip(fresh, codec.checked(fresh), strict=True):
+                    known[s] = ("!" if differs else "") + ",".join(map(str, ids))
                 for stretches in texts:
-                    pairs = [known[s] for s in stretches]
-                    ids = list(chain.from_iterable([own for own, _ in pairs]))
+                    parts = [known[s] for s in stretches]
+                    wrong = sum(1 for p in parts if p.startswith("!"))
+                    joined = ",".join(parts).replace("!", "") if wrong else ",".join(parts)
+                    ids = list(map(int, joined.split(","))) if joined else []
                     out["n_tokens"].append(len(ids))
+                    out["n_disagreed"].append(wrong)
                     decoded = codec.library.decode(ids) if ids else ""
                     if digests:
-                        joined = ",".join([text for _, text in pairs])
                         out["first"].append(sha256(joined.encode()).hexdigest())
                         out["second"].append(sha256(decoded.encode()).hexdigest())
                     else:
@@ -197,4 +206,6 @@ def encode_documents(docs: DataFrame, model_file: str, digests: bool = True) ->
     kinds = (
         "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
     )
-    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id long, n_tokens long, {kinds}")
+    return arrow_map(
+        docs.select("doc_id", "text"), run, f"doc_id long, n_tokens long, {kinds}, n_disagreed long"
+    )

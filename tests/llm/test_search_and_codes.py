@@ -30,6 +30,15 @@ def test_agenda_equals_library(codec):
     assert [codec.decode(i) for i in own] == [codec.library.decode(i) for i in own]
 
 
+def test_library_ids_stand_where_the_agenda_differs(codec, monkeypatch):
+    """A stretch the agenda gets wrong takes the library's ids and is counted."""
+    right = codec.stretch_ids
+    monkeypatch.setattr(codec, "stretch_ids", lambda s: [0] if "fox" in s else right(s))
+    (fox, other) = codec.checked(["▁fox", "▁dog"])
+    assert fox == (codec.library.encode("fox"), True)
+    assert other == (codec.library.encode("dog"), False)
+
+
 def test_heap_equals_scan(codec):
     text = "▁" + "internationalisation" * 5
     assert codec._queued(list(text)) == codec._scanned(list(text))
@@ -43,7 +52,7 @@ def test_encode_documents(spark, docs, codec):
     for i, t in rows:
         ids = codec.library.encode(t or "")
         digests = [",".join(map(str, ids)), codec.library.decode(ids) if ids else ""]
-        want.append((i, len(ids), *(hashlib.sha256(d.encode()).hexdigest() for d in digests)))
+        want.append((i, len(ids), *(hashlib.sha256(d.encode()).hexdigest() for d in digests), 0))
     assert got == sorted(want)
     whole = encode_documents(df, MODEL, digests=False).collect()
     assert all(r.ids == codec.library.encode(dict(rows)[r.doc_id] or "") for r in whole)
