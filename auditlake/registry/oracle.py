@@ -605,5 +605,20 @@ SELECT run_id, '{{"success":' || success || ',"files_scanned":' || files_scanned
 {_sources('event_files', 'true')},
 {SCAN}
 SELECT * FROM findings""",
+    "stream_changed_findings": f"""WITH RECURSIVE {FILES},
+{BASE},
+latest_files AS (
+  SELECT c.repo, c.path, c.content,
+    CAST(CASE WHEN b.repo IS NOT NULL AND b.content IS DISTINCT FROM c.content THEN 2 ELSE 1 END AS BIGINT) AS version
+  FROM code_files c LEFT JOIN base_files b USING (repo, path)
+  UNION ALL
+  SELECT b.repo, b.path, b.content, CAST(1 AS BIGINT) FROM base_files b ANTI JOIN code_files c USING (repo, path)),
+{_sources('latest_files', 'true')},
+{SCAN}
+SELECT f.*, l.version FROM findings f JOIN latest_files l USING (repo, path)""",
+    "stream_severity_totals": f"""WITH {EVENT_FILES},
+{_sources('event_files', 'true')},
+{SCAN}
+SELECT severity, count(*) AS count FROM findings GROUP BY severity""",
 }
 ORACLE["py_facts_any_line_end"] = ORACLE["py_facts"]

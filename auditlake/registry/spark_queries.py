@@ -420,6 +420,34 @@ def stream_findings(spark, sf_dir):
     return spark.read.schema(found.schema).parquet(sink)
 
 
+def stream_changed_findings(spark, sf_dir):
+    """The base snapshot arrives, then the current one; files that arrive unchanged emit
+    nothing, changed ones replace their findings. Findings of each file's latest version."""
+    where, sink, progress = (fresh_dir(spark, n) for n in ("arrivals", "changed", "changed-progress"))
+    for arrival, snapshot in enumerate(("base", "current")):
+        files = corpus.code_files(spark, sf_dir, snapshot).withColumn("arrival", F.lit(arrival).cast("long"))
+        files.write.mode("append").parquet(where)
+        schema = spark.read.parquet(where).schema
+        continuous.keep_changed(continuous.stream_rows(spark, where, schema), "arrival", sink, progress)
+    template = continuous.changed_findings(
+        continuous.changed_only(spark.read.parquet(where).limit(0), "arrival")
+    )
+    return continuous.latest_findings(spark, sink, template.schema)
+
+
+def stream_severity_totals(spark, sf_dir):
+    """Running totals of findings per severity over the stream of events, as last handed on."""
+    schema = corpus.table(spark, sf_dir, "events").schema
+    arriving = corpus.event_files(continuous.stream_rows(spark, f"{sf_dir}/events*.parquet", schema))
+    sink = fresh_dir(spark, "totals")
+
+    def write(totals, batch_id):
+        totals.write.mode("overwrite").parquet(sink)
+
+    continuous.keep_severity_totals(continuous.stream_findings(arriving), write, fresh_dir(spark, "totals-progress"))
+    return spark.read.parquet(sink)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lang_inventory": lang_inventory,
     "excluded_dirs": excluded_dirs,
@@ -488,4 +516,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "repair_bodies": repair_bodies,
     "run_report_json": run_report_json,
     "stream_findings": stream_findings,
+    "stream_changed_findings": stream_changed_findings,
+    "stream_severity_totals": stream_severity_totals,
 }

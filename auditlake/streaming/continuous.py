@@ -1,14 +1,19 @@
 """The incremental scan as a stream: new files arrive, their findings are appended.
 
-Rules run inside the file's row, so the query keeps no state and needs no
-watermark.
+Rules run inside the file's row, so the plain query keeps no state and needs no
+watermark. The changed-only query keeps one small state per file: the hash of its last
+content, so an arrival that repeats it emits nothing and one that changes it emits the
+file's new findings under a new version.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from auditlake.operators.inventory import source_files
@@ -57,3 +62,77 @@ def keep_severity_totals(
         .start()
     )
     query.awaitTermination()
+
+
+CHANGED_SCHEMA = "repo string, path string, content string, sha256 string, version long"
+CHANGED_COLUMNS = ["repo", "path", "content", "sha256", "version"]
+STATE_SCHEMA = "sha256 string, version long"
+
+
+def _emit_changed(order: str):
+    def emit(key, frames, state: GroupState):
+        last, version = state.get if state.exists else (None, 0)
+        seen = state.exists
+        out = []
+        for frame in frames:
+            for row in frame.sort_values(order, kind="stable").itertuples(index=False):
+                if seen and row.sha256 == last:
+                    continue
+                seen, last, version = True, row.sha256, version + 1
+                out.append((row.repo, row.path, row.content, row.sha256, version))
+        state.update((last, version))
+        yield pd.DataFrame(out, columns=CHANGED_COLUMNS)
+
+    return emit
+
+
+def changed_only(files: DataFrame, order: str) -> DataFrame:
+    """Of ``files(repo, path, content, <order>)``, streaming or not, the arrivals whose content
+    differs from the one before of the same (repo, path), numbered by ``version`` from 1.
+
+    Keyed state holds the last content's sha256 and version per file, not the content, so it
+    grows with the number of files and not with their sizes or arrivals. Within a batch the
+    arrivals of a file are taken by ``order``. A null content is a content like any other
+    (two nulls in a row are one). The state is kept in the query's checkpoint location.
+    """
+    hashed = files.select("repo", "path", "content", F.sha2("content", 256).alias("sha256"), order)
+    return hashed.groupBy("repo", "path").applyInPandasWithState(
+        _emit_changed(order), CHANGED_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def changed_findings(changed: DataFrame) -> DataFrame:
+    """Findings of changed files, with the version they belong to."""
+    return findings(scan_files(source_files(changed, prune=False), "version"), "version")
+
+
+def keep_changed(files: DataFrame, order: str, sink: str, checkpoint: str) -> None:
+    """Process what has arrived: changed files to ``sink/versions``, their findings to
+    ``sink/findings``. Each batch is written under its own id, so a batch run again after a
+    failure replaces its own output and nothing is doubled."""
+    changed = changed_only(files, order)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        kept = batch.persist()
+        kept.select("repo", "path", "sha256", "version").write.mode("overwrite").parquet(
+            f"{sink}/versions/batch={batch_id}"
+        )
+        changed_findings(kept).write.mode("overwrite").parquet(f"{sink}/findings/batch={batch_id}")
+        kept.unpersist()
+
+    query = (
+        changed.writeStream.outputMode("append")
+        .option("checkpointLocation", checkpoint)
+        .foreachBatch(write)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+
+
+def latest_findings(spark: SparkSession, sink: str, schema: StructType) -> DataFrame:
+    """The findings of each file's latest version: a changed file's findings replace those of
+    its versions before, also when it has none any more."""
+    versions = spark.read.parquet(f"{sink}/versions").groupBy("repo", "path").agg(F.max("version").alias("version"))
+    found = spark.read.parquet(f"{sink}/findings").select(*schema.fieldNames())
+    return found.join(versions, ["repo", "path", "version"], "left_semi")

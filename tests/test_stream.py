@@ -34,3 +34,36 @@ def test_running_totals(files, spark, tmp_path):
             found, lambda df, _: seen.append({r.severity: r["count"] for r in df.collect()}), progress
         )
     assert seen[-1] == {"high": 2, "info": 1, "low": 1, "medium": 1}
+
+
+ARRIVALS = [
+    [("r", "a.py", "try:\n  f()\nexcept:\n  pass", 1), ("r", "b.js", "var x", 2)],
+    # a.py again unchanged, b.js twice in one batch: changed, then back as it was
+    [("r", "a.py", "try:\n  f()\nexcept:\n  pass", 3), ("r", "b.js", "var y\nvar z", 4), ("r", "b.js", "var x", 5)],
+    # a.py mended: its finding must go; c.go new
+    [("r", "a.py", "f()", 6), ("r", "c.go", "_ = f(error)", 7)],
+]
+
+
+def test_changed_only_stream(spark, tmp_path):
+    where, sink, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    schema = "repo string, path string, content string, arrival long"
+    emitted = []
+    for rows in ARRIVALS:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(where)
+        arriving = spark.readStream.schema(schema).parquet(where)
+        continuous.keep_changed(arriving, "arrival", sink, progress)
+        emitted.append(spark.read.parquet(f"{sink}/versions").count())
+    # Batch 1: two files; batch 2: b.js twice (a.py unchanged emits nothing); batch 3: two.
+    assert emitted == [2, 4, 6]
+    versions = {(r.path, r.version) for r in spark.read.parquet(f"{sink}/versions").collect()}
+    assert versions == {("a.py", 1), ("b.js", 1), ("b.js", 2), ("b.js", 3), ("a.py", 2), ("c.go", 1)}
+    found = continuous.changed_findings(continuous.changed_only(spark.createDataFrame(ARRIVALS[0], schema), "arrival"))
+    latest = continuous.latest_findings(spark, sink, found.schema)
+    final = spark.createDataFrame(
+        [("r", "a.py", "f()", 6), ("r", "b.js", "var x", 5), ("r", "c.go", "_ = f(error)", 7)], schema
+    )
+    expected = continuous.stream_findings(final.drop("arrival"))
+    got = latest.drop("version")
+    assert sorted(got.select(*expected.columns).collect()) == sorted(expected.collect())
+    assert {r.path for r in got.collect()} == {"b.js", "c.go"}
