@@ -6,19 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.edits import INLINE_FIX, RESTRUCTURE, edit_error, edited, first_line
+from auditlake.sources.tables import fetch
 
 
 def apply_each(files: DataFrame, plans: DataFrame) -> DataFrame:
     """``before``, ``after`` and ``error`` of every plan taken alone.
 
-    A plan without a file keeps its row, with an error instead of a result.
+    A plan without a file keeps its row, with an error instead of a result. Only the files
+    that plans name are fetched (by their keys, see ``fetch``) before they meet the plans, so
+    the contents of the other files never move.
     """
     before, strategy = F.col("before"), F.col("strategy")
     snippets = F.col("original_snippet"), F.col("target_snippet")
     bounds = F.col("line_start"), F.col("line_end")
-    joined = plans.join(
-        files.select("repo", "path", F.col("content").alias("before")), ["repo", "path"], "left"
-    )
+    named = fetch(files.select("repo", "path", "content"), plans)
+    joined = plans.join(named.select("repo", "path", F.col("content").alias("before")), ["repo", "path"], "left")
     return joined.withColumns(
         {
             "error": edit_error(before, strategy, F.col("path"), *snippets, *bounds),
