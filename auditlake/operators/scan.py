@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 from auditlake.functions import rules
 from auditlake.functions.pyfacts import python_facts
@@ -52,6 +53,39 @@ def syntax_facts(sources: DataFrame) -> DataFrame:
     return facts.select("repo", "path", F.inline_outer("facts")).filter(F.col("kind").isNotNull())
 
 
+def unparsed(sources: DataFrame, store: DataFrame | None) -> DataFrame:
+    """(sha256, content): one row per distinct Python content whose facts aren't in ``store``.
+
+    Hashes are compared first, so known contents never move; of the new ones each hash
+    keeps one content, copies merged before the exchange."""
+    python = sources.filter(F.col("language") == "python").select(F.sha2("content", 256).alias("sha256"), "content")
+    new = python if store is None else python.join(store.select("sha256"), "sha256", "left_anti")
+    return new.groupBy("sha256").agg(F.min("content").alias("content"))
+
+
+def _store(spark, store_dir: str) -> DataFrame | None:
+    """The facts stored so far, or None before the first run."""
+    try:
+        return spark.read.parquet(store_dir)
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def stored_facts(sources: DataFrame, store_dir: str) -> DataFrame:
+    """``syntax_facts`` by content: facts are kept in ``store_dir`` (a shared folder) under the
+    sha256 of the content they belong to, each distinct content is parsed once, and a later run
+    over contents seen before parses none. New facts are appended before facts are returned;
+    a run that fails before its write leaves the store as it was."""
+    spark = sources.sparkSession
+    new = unparsed(sources, _store(spark, store_dir))
+    new.select("sha256", python_facts("content").alias("facts")).write.mode("append").parquet(store_dir)
+    python = sources.filter(F.col("language") == "python").select("repo", "path", F.sha2("content", 256).alias("sha256"))
+    facts = python.join(spark.read.parquet(store_dir), "sha256")
+    return facts.select("repo", "path", F.inline_outer("facts")).filter(F.col("kind").isNotNull())
+
+
 def findings(scanned: DataFrame, *carry: str) -> DataFrame:
     """One row per finding; ``ordinal`` is its position in the file's report.
 

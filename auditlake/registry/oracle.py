@@ -622,3 +622,4 @@ SELECT f.*, l.version FROM findings f JOIN latest_files l USING (repo, path)""",
 SELECT severity, count(*) AS count FROM findings GROUP BY severity""",
 }
 ORACLE["py_facts_any_line_end"] = ORACLE["py_facts"]
+ORACLE["py_facts_by_content"] = ORACLE["py_facts"]

@@ -76,6 +76,17 @@ def py_facts(spark, sf_dir):
     )
 
 
+def py_facts_by_content(spark, sf_dir):
+    """Facts kept by content hash: the base snapshot is parsed first, then the current one,
+    whose unchanged files are not parsed again. The facts of the current files."""
+    store = fresh_dir(spark, "facts-by-content")
+    scan.stored_facts(inventory.source_files(corpus.code_files(spark, sf_dir, "base"), prune=False), store)
+    files = inventory.source_files(corpus.code_files(spark, sf_dir), prune=False)
+    return scan.stored_facts(files, store).select(
+        "repo", "path", "kind", "line", "end_line", "name", "mutable_defaults", "text"
+    )
+
+
 def py_facts_any_line_end(spark, sf_dir):
     """The same sources with other line ends: a lone CR in some files, CR LF in others."""
     files = corpus.code_files(spark, sf_dir)
@@ -456,6 +467,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "file_metrics": file_metrics,
     "py_facts": py_facts,
     "py_facts_any_line_end": py_facts_any_line_end,
+    "py_facts_by_content": py_facts_by_content,
     "py_bare_except": _one_rule("bare_except"),
     "py_mutable_default": _one_rule("mutable_default"),
     "py_long_function": _one_rule("long_function"),

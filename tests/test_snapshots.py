@@ -110,3 +110,20 @@ def test_stored_snapshots_compare_without_a_shuffle(spark):
     # Every call stores under a name of its own.
     again = snapshots.stored(two(spark, NOW), "now", 4)
     assert sorted(again.collect()) == sorted(now.collect())
+
+
+def test_facts_by_content_parse_each_content_once(spark, tmp_path):
+    store = str(tmp_path / "facts")
+    code = "def f(x=[]):\n    try:\n        pass\n    except:\n        pass\n"
+    first = two(spark, [("r", "a.py", code), ("r", "b.py", code), ("r", "c.py", "x = 1\n"), ("r", "d.md", "# no")])
+    sources = inventory.source_files(first, prune=False)
+    assert scan.unparsed(sources, None).count() == 2  # two contents, one of them twice
+    got = scan.stored_facts(sources, store)
+    assert sorted(got.collect()) == sorted(scan.syntax_facts(sources).collect())
+    # A second run over the same contents and one new file parses that file alone.
+    again = inventory.source_files(first.union(two(spark, [("s", "e.py", "def g():\n    return 2\n")])), prune=False)
+    assert [r.content for r in scan.unparsed(again, spark.read.parquet(store)).collect()] == ["def g():\n    return 2\n"]
+    got = scan.stored_facts(again, store)
+    assert sorted(got.collect()) == sorted(scan.syntax_facts(again).collect())
+    assert spark.read.parquet(store).count() == 3  # each content's facts stored once
+    assert scan.unparsed(again, spark.read.parquet(store)).count() == 0
