@@ -183,9 +183,10 @@ def encode_documents(docs: DataFrame, model_file: str, digests: bool = True) ->
                 for s, (ids, differs) in zip(fresh, codec.checked(fresh), strict=True):
                     known[s] = ("!" if differs else "") + ",".join(map(str, ids))
                 for stretches in texts:
-                    parts = [known[s] for s in stretches]
-                    wrong = sum(1 for p in parts if p.startswith("!"))
-                    joined = ",".join(parts).replace("!", "") if wrong else ",".join(parts)
+                    joined = ",".join([known[s] for s in stretches])
+                    wrong = joined.count("!")
+                    if wrong:
+                        joined = joined.replace("!", "")
                     ids = list(map(int, joined.split(","))) if joined else []
                     out["n_tokens"].append(len(ids))
                     out["n_disagreed"].append(wrong)
