@@ -26,7 +26,11 @@ def _listed(spark: SparkSession, root: str, repo: str | None, sources_only: bool
     if sources_only:
         names = ",".join(ext[1:] for ext in LANGUAGES)
         reader = reader.option("pathGlobFilter", "*.{" + names + "}")
-    files = reader.load(root).withColumn("path", relative_path(F.col("path"), root))
+    return with_repo(reader.load(root).withColumn("path", relative_path(F.col("path"), root)), repo)
+
+
+def with_repo(files: DataFrame, repo: str | None) -> DataFrame:
+    """``repo`` for files by paths below the root: the one given, else the first directory."""
     if repo is not None:
         return files.withColumn("repo", F.lit(repo))
     # Files directly below the root belong to no repository.
