@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions import review as R
-from auditlake.functions.text import is_blank
+from auditlake.functions.text import is_blank, lines, strip
+
+# Lines of a diff that one task takes when a diff is read as numbered lines.
+RANGE_LINES = 65_536
 
 
 def _with_lines(diffs: DataFrame, *carry: str | Column) -> DataFrame:
@@ -27,6 +30,45 @@ def diff_lines(diffs: DataFrame) -> DataFrame:
     return rows.filter(F.col("pos").isNotNull())
 
 
+def numbered_lines(diffs: DataFrame) -> DataFrame:
+    """``(diff_id, pos, text)``: one row per line of every diff, ``pos`` from 0."""
+    return diffs.select("diff_id", F.posexplode(lines(F.col("diff"))).alias("pos", "text"))
+
+
+def ranged_diff_lines(numbered: DataFrame, range_lines: int = RANGE_LINES) -> DataFrame:
+    """``diff_lines`` of diffs given as numbered lines ``(diff_id, pos, text)``, so that one
+    diff may be longer than a task can hold.
+
+    Lines are cut into ranges of ``range_lines`` by ``pos``. Pass one finds each range's
+    last file header (a grouped aggregate, one row per range) and carries the last one of
+    all earlier ranges forward by a window over those few rows. Pass two gives each line
+    the latest header at or before it in its own range, else the carried one. No task
+    holds more than a range of lines, and only the per-range rows cross them. Lines before
+    the first header, headers and ``+++ `` lines give no row, as in ``diff_lines``; a null
+    line gives none and doesn't end a section; an empty table gives none.
+    """
+    header = F.when(F.startswith("text", F.lit("--- ")), F.struct("pos", "text"))
+    ranged = numbered.withColumn("range", F.floor(F.col("pos") / range_lines))
+    last = ranged.groupBy("diff_id", "range").agg(F.max(header).alias("last"))
+    earlier = Window.partitionBy("diff_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("diff_id", "range", F.max("last").over(earlier).alias("carried"))
+    upto = Window.partitionBy("diff_id", "range").orderBy("pos").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    local = ranged.withColumn("own", F.max(header).over(upto))
+    head = F.coalesce("own", "carried")
+    body = local.join(carried, ["diff_id", "range"]).filter(
+        head.isNotNull() & ~F.startswith("text", F.lit("--- ")) & ~F.startswith("text", F.lit("+++ "))
+    )
+    return body.select(
+        "diff_id",
+        "pos",
+        strip(F.substring(head["text"], 7, 2147483647)).alias("file"),
+        F.substring("text", 1, 1).alias("sign"),
+        F.substring("text", 2, 2147483647).alias("text"),
+    )
+
+
 def line_comments(diffs: DataFrame, rule: str | None = None) -> DataFrame:
     """One row per comment; with ``rule`` only that rule's."""
     noted = _with_lines(diffs).select("diff_id", R.comments(F.col("changed")).alias("comments"))

@@ -548,6 +548,7 @@ SELECT repo, path, seq, plan_key, NOT missing AND NOT unknown AS success, false
 SELECT repo, path, seq, plan_key, NOT missing AND NOT unknown AND passed AS success, false AS rolled_back,
   {ERRORS.format(more="WHEN NOT passed THEN 'Tests failed: ' || substr(output, 1, 200)")} AS error FROM results""",
     "diff_lines": f"WITH {DIFFS},\n{DIFF_PARSE}\nSELECT * FROM diff_lines",
+    "diff_lines_by_range": f"WITH {DIFFS},\n{DIFF_PARSE}\nSELECT * FROM diff_lines",
     "added_credential": _check("credential"),
     "added_todo": _check("todo"),
     "added_long_line": _check("long_line"),

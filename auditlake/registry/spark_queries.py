@@ -302,6 +302,10 @@ def diff_lines(spark, sf_dir):
     return review.diff_lines(corpus.code_diffs(spark, sf_dir))
 
 
+def diff_lines_by_range(spark, sf_dir):
+    return review.ranged_diff_lines(review.numbered_lines(corpus.code_diffs(spark, sf_dir)))
+
+
 def _one_check(*checks: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark, sf_dir):
         found = review.line_comments(corpus.code_diffs(spark, sf_dir))
@@ -509,6 +513,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "unified_diffs": unified_diffs,
     "snapshot_diffs": snapshot_diffs,
     "diff_lines": diff_lines,
+    "diff_lines_by_range": diff_lines_by_range,
     "added_credential": _one_check("credential"),
     "added_todo": _one_check("todo"),
     "added_long_line": _one_check("long_line"),

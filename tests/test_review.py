@@ -182,3 +182,29 @@ def test_own_diffs_lose_two_path_characters(spark):
     """Diffs of edits carry bare paths; the header rule still drops six characters."""
     rows = spark.createDataFrame([("d", "--- src/a.py\n+++ src/a.py\n+TODO")], "diff_id string, diff string")
     assert review.line_comments(rows).first().file == "c/a.py"
+
+
+def _both(spark, rows, range_lines):
+    whole = sorted(tuple(r) for r in review.diff_lines(rows).collect())
+    ranged = review.ranged_diff_lines(review.numbered_lines(rows), range_lines)
+    return whole, sorted(tuple(r) for r in ranged.collect())
+
+
+def test_ranged_diff_lines_equal_whatever_the_range(spark):
+    diff = "+before TODO\n--- x/y/a.py \n+++ b\n@@ x\n+1\n--- \n-2\n\n--- a/b\n+++3"
+    pick = random.Random(7)
+    kinds = ["--- a/f", "--- b/g ", "+++ b/f", "+x", "-y", " z", "", "@@ -1 +1 @@", "+++ ", "---"]
+    diffs = [("d", diff), ("none", "+x"), ("blank", ""), ("null", None)]
+    diffs += [(f"r{k}", "\n".join(pick.choice(kinds) for _ in range(pick.randint(1, 60)))) for k in range(30)]
+    rows = spark.createDataFrame(diffs, "diff_id string, diff string")
+    for range_lines in (1, 2, 3, 7, 64, 65_536):
+        whole, ranged = _both(spark, rows, range_lines)
+        assert ranged == whole and whole
+
+
+def test_ranged_diff_lines_of_the_corpus(spark):
+    from auditlake.registry import corpus
+
+    rows = corpus.code_diffs(spark, "/root/testdata/sf0.001")
+    whole, ranged = _both(spark, rows, 5)
+    assert ranged == whole and whole
