@@ -45,7 +45,8 @@ def ranged_diff_lines(numbered: DataFrame, range_lines: int = RANGE_LINES) -> Da
     the latest header at or before it in its own range, else the carried one. No task
     holds more than a range of lines, and only the per-range rows cross them. Lines before
     the first header, headers and ``+++ `` lines give no row, as in ``diff_lines``; a null
-    line gives none and doesn't end a section; an empty table gives none.
+    line gives none and doesn't end a section; an empty table gives none. ``numbered`` is
+    read by both passes, so a long diff should come as a stored table.
     """
     header = F.when(F.startswith("text", F.lit("--- ")), F.struct("pos", "text"))
     ranged = numbered.withColumn("range", F.floor(F.col("pos") / range_lines))
