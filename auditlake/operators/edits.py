@@ -12,7 +12,9 @@ from auditlake.sources.tables import fetch
 def apply_each(files: DataFrame, plans: DataFrame) -> DataFrame:
     """``before``, ``after`` and ``error`` of every plan taken alone.
 
-    A plan without a file keeps its row, with an error instead of a result. Only the files
+    A plan without a file keeps its row, with an error instead of a result; ``present``
+    tells whether ``files`` holds a row for it at all, so a file that is there but could not
+    be read (null content, the same error) is told from one that is missing. Only the files
     that plans name are fetched (by their keys, see ``fetch``) before they meet the plans, so
     the contents of the other files never move.
     """
@@ -20,9 +22,11 @@ def apply_each(files: DataFrame, plans: DataFrame) -> DataFrame:
     snippets = F.col("original_snippet"), F.col("target_snippet")
     bounds = F.col("line_start"), F.col("line_end")
     named = fetch(files.select("repo", "path", "content"), plans)
-    joined = plans.join(named.select("repo", "path", F.col("content").alias("before")), ["repo", "path"], "left")
+    found = named.select("repo", "path", F.col("content").alias("before"), F.lit(True).alias("present"))
+    joined = plans.join(found, ["repo", "path"], "left")
     return joined.withColumns(
         {
+            "present": F.coalesce("present", F.lit(False)),
             "error": edit_error(before, strategy, F.col("path"), *snippets, *bounds),
             "after": edited(before, strategy, *snippets, *bounds),
         }

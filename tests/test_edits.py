@@ -93,6 +93,18 @@ def test_invalid_plans_are_reported_not_raised(files, spark):
     assert {r.plan_key: r.error for r in batch.outcomes(log).collect()} == expected
 
 
+def test_present_tells_unreadable_from_missing(spark):
+    files = spark.createDataFrame([("r", "a", "x"), ("r", "c", None)], "repo string, path string, content string")
+    plans = spark.createDataFrame([plan("1", "a", "inline-fix", "x", "y"), plan("2", "b", "inline-fix", "x", "y"),
+                                   plan("3", "c", "inline-fix", "x", "y")], PLAN)
+    got = {r.plan_key: (r.present, r.error, r.after) for r in edits.apply_each(files, plans).collect()}
+    assert got == {
+        "1": (True, None, "y"),
+        "2": (False, "Cannot refactor: b not found", None),
+        "3": (True, "Cannot refactor: c not found", None),
+    }
+
+
 def test_degraded_plans(spark):
     plans = spark.createDataFrame(
         [plan("1", "a", "restructure", "l1\nl2", "t1\nt2", 2, 3), plan("2", "a", "rename", "x", "y")], PLAN
