@@ -1,3 +1,7 @@
+import random
+
+import pytest
+
 from auditlake.streaming import continuous
 
 BATCHES = [
@@ -67,3 +71,41 @@ def test_changed_only_stream(spark, tmp_path):
     got = latest.drop("version")
     assert sorted(got.select(*expected.columns).collect()) == sorted(expected.collect())
     assert {r.path for r in got.collect()} == {"b.js", "c.go"}
+
+
+def test_changed_only_keeps_files_apart_within_a_bucket(spark, tmp_path):
+    """Many files share one call and one state, in frames of a few rows, with nulls, over two batches."""
+    where, sink, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    schema = "repo string, path string, content string, arrival long"
+    rng, last, want, calls = random.Random(3), {}, set(), spark.sparkContext.accumulator(0)
+    names = [(r, p) for r in ("r", "s", None) for p in (*(f"{i}.js" for i in range(20)), None)]
+    emit = continuous._emit_changed
+
+    def counted(order):
+        def run(key, frames, state):
+            calls.add(1)
+            yield from emit(order)(key, frames, state)
+
+        return run
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(continuous, "_emit_changed", counted)
+        patch.setattr(continuous, "BUCKETS", 3)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        try:
+            for batch in range(2):
+                rows = [(*rng.choice(names), rng.choice(["var x", "var y", None]), 1000 * batch + i) for i in range(400)]
+                for repo, path, content, _ in rows:
+                    before, version = last.get((repo, path), ("none", 0))
+                    if before != content:
+                        last[repo, path] = content, version + 1
+                        want.add((repo, path, version + 1))
+                rng.shuffle(rows)
+                spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(where)
+                arriving = spark.readStream.schema(schema).parquet(where)
+                continuous.keep_changed(arriving, "arrival", sink, progress)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = [(r.repo, r.path, r.version) for r in spark.read.parquet(f"{sink}/versions").collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert calls.value <= 6  # a call a bucket and batch, not a call a file
