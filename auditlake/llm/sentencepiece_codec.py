@@ -2,7 +2,8 @@
 
 A text becomes symbols, one for each character; an agenda of adjacent pairs,
 ordered by the score of the piece that a pair would make and then from the left,
-says which two to merge next. Characters outside the vocabulary end as bytes.
+says which two to merge next. Characters outside the vocabulary end as bytes. Many short
+texts are merged side by side: their agendas are the rows of one array of ranks.
 
 No piece of such a vocabulary holds a word start after another character (this is
 looked up, not assumed), so no merge crosses a word's start and each stretch
@@ -22,6 +23,7 @@ import re
 from hashlib import sha256
 from itertools import chain
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from auditlake.llm.common import arrow_map
@@ -31,6 +33,8 @@ STRETCH = re.compile(f"{SPACE}+[^{SPACE}]*")
 REMEMBERED = 600_000  # stretches kept by a worker before it starts afresh
 KEPT_LENGTH = 64  # longer stretches aren't kept
 SHORT = 48  # symbols up to which scanning beats a heap
+MANY = 64  # stretches from which merging them side by side beats one after the other
+NONE = 1 << 30  # the rank of a pair that no piece joins
 
 
 # What a worker process has encoded before, by model file; it outlives a task.
@@ -58,14 +62,34 @@ class MergeCodec:
         self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.text_of = {i: piece.replace(SPACE, " ") for piece, i in self.ids.items()}
         self.byte_of = {i: b for b, i in enumerate(self.byte_ids)}
+        self.decimal = [str(i) for i in range(size)]
+        self._pairs(size)
         self.splits = not any(re.search(f"[^{SPACE}]{SPACE}", piece) for piece in self.ids)
 
+    def _pairs(self, size: int) -> None:
+        """Sorted pairs of ids whose texts join to a piece, with its rank and id; ids of characters."""
+        ids = self.ids
+        joins = sorted(
+            (ids[p[:k]] * size + ids[p[k:]], self.rank(p), i)
+            for p, i in ids.items()
+            for k in range(1, len(p))
+            if p[:k] in ids and p[k:] in ids
+        )
+        self.size = size
+        # One pair past all others, so that a search always finds a place.
+        self.pair, ranks, joined = np.array([*joins, (size * size, NONE, 0)], np.int64).T.copy()
+        self.pair_rank, self.pair_id = ranks.astype(np.int32), joined.astype(np.int32)
+        self.id_of_char = np.full(0x110000, -1, np.int32)
+        for p, i in ids.items():
+            if len(p) == 1:
+                self.id_of_char[ord(p)] = i
+
     def merged(self, symbols: list[str]) -> list[str]:
         return self._scanned(symbols) if len(symbols) <= SHORT else self._queued(symbols)
 
     def _scanned(self, symbols: list[str]) -> list[str]:
         """A short agenda is a list of ranks beside the symbols."""
-        rank, none = self.rank, 1 << 30
+        rank, none = self.rank, NONE
         agenda = [rank(a + b, none) for a, b in zip(symbols, symbols[1:])]
         while agenda:
             best = min(agenda)
@@ -116,6 +140,55 @@ class MergeCodec:
                 ids.append(known)
         return ids
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the piece that each pair of ids makes, ``NONE`` where it makes none."""
+        wanted = left.astype(np.int64) * self.size + right
+        at = self.pair.searchsorted(wanted)
+        return np.where(self.pair[at] == wanted, self.pair_rank[at], np.int32(NONE))
+
+    def all_ids(self, stretches: list[str]) -> list[list[int]]:
+        """``stretch_ids`` of each. Short ones whose characters are all pieces are merged side by
+        side: rows of equally many symbols stand in one array beside the ranks of their pairs,
+        each row merges its best pair, the leftmost of equals, and joins the rows one shorter."""
+        out: list = [None] * len(stretches)
+        n = np.fromiter(map(len, stretches), np.int64, len(stretches))
+        first = self.id_of_char[np.frombuffer("".join(stretches).encode("utf-32-le"), np.uint32)]
+        start = np.cumsum(n) - n
+        unknown = np.concatenate([[0], np.cumsum(first < 0)])
+        fit = (n > 0) & (n <= SHORT) & (unknown[start + n] == unknown[start])
+        for r in np.flatnonzero(~fit).tolist():
+            out[r] = self.stretch_ids(stretches[r])
+        row, symbols, rank = np.zeros(0, np.int64), None, None
+        for width in range(int(n[fit].max(initial=0)), 0, -1):
+            new = np.flatnonzero(fit & (n == width))
+            if len(new):
+                own = first[start[new][:, None] + np.arange(width)]
+                ranks = self._ranks(own[:, :-1], own[:, 1:])
+                if len(row):
+                    new, own, ranks = (np.concatenate(two) for two in ((row, new), (symbols, own), (rank, ranks)))
+                row, symbols, rank = new, own, ranks
+            if not len(row):
+                continue
+            here = np.arange(len(row))
+            best = rank.argmin(axis=1) if width > 1 else here * 0
+            done = rank[here, best] == NONE if width > 1 else here == here
+            if done.any():
+                for r, ids in zip(row[done].tolist(), symbols[done].tolist()):
+                    out[r] = ids
+                row, symbols, rank, best = (x[~done] for x in (row, symbols, rank, best))
+                here = np.arange(len(row))
+            if not len(row):
+                continue
+            merged = symbols[here, best].astype(np.int64) * self.size + symbols[here, best + 1]
+            symbols[here, best] = self.pair_id[self.pair.searchsorted(merged)]
+            symbols = symbols[np.arange(width) != best[:, None] + 1].reshape(len(row), width - 1)
+            rank = rank[np.arange(width - 1) != best[:, None]].reshape(len(row), width - 2)
+            for at in (best - 1, best):  # the pairs that the new symbol is in
+                r = np.flatnonzero((at >= 0) & (at < width - 2))
+                c = at[r]
+                rank[r, c] = self._ranks(symbols[r, c], symbols[r, c + 1])
+        return out
+
     def stretches(self, text: str) -> list[str]:
         """Cut before each word start; the text starts with one that isn't written."""
         if not text:
@@ -142,7 +215,7 @@ class MergeCodec:
     def checked(self, stretches: list[str]) -> list[tuple[list[int], bool]]:
         """Ids of new stretches by the agenda, each with whether the library's differ; where
         they differ, the library's ids are given."""
-        own = list(map(self.stretch_ids, stretches))
+        own = self.all_ids(stretches) if len(stretches) >= MANY else list(map(self.stretch_ids, stretches))
         # The library puts the first word start before the text itself, but before no text none.
         texts = [s[1:].replace(SPACE, " ") for s in stretches]
         theirs = self.library.encode(texts, num_threads=1)
@@ -181,7 +254,7 @@ def encode_documents(docs: DataFrame, model_file: str, digests: bool = True) ->
                     known.clear()
                     fresh = list({s for t in texts for s in t})
                 for s, (ids, differs) in zip(fresh, codec.checked(fresh), strict=True):
-                    known[s] = ("!" if differs else "") + ",".join(map(str, ids))
+                    known[s] = ("!" if differs else "") + ",".join([codec.decimal[i] for i in ids])
                 for stretches in texts:
                     joined = ",".join([known[s] for s in stretches])
                     wrong = joined.count("!")

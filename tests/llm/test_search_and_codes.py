@@ -97,3 +97,17 @@ def test_top_rows_of_all_sizes():
             want = sorted(range(n), key=lambda i: (-int(q[i] @ weights), i))[:5]
             assert sorted(rows.tolist()) == sorted(want)
             assert {int(r): int(s) for r, s in zip(rows, scores)} == {i: int(q[i] @ weights) for i in want}
+
+
+def test_side_by_side_equals_one_by_one(codec, monkeypatch):
+    """Stretches of all lengths, with characters outside the vocabulary, merged together."""
+    rng = random.Random(2)
+    texts = ["", "▁", "▁▁▁", "▁" + "the" * 15 + "ab", "▁" + "the" * 16]
+    texts += ["▁" + "".join(rng.choice("abethniosr,. é\n日漢🎉\x00<") for _ in range(rng.randint(0, 70))) for _ in range(3000)]
+    want = list(map(codec.stretch_ids, texts))
+    assert codec.all_ids(texts) == want and codec.all_ids([]) == []
+    # New stretches of a batch don't go one by one any more.
+    words = ["▁" + "".join(rng.choice("abethniosr") for _ in range(8)) for _ in range(200)]
+    expected = [(ids, False) for ids in map(codec.stretch_ids, words)]
+    monkeypatch.setattr(codec, "stretch_ids", None)
+    assert codec.checked(words) == expected
