@@ -31,6 +31,13 @@ def arrow_map(df: DataFrame, batches: Callable[[Iterator], Iterator], schema: st
     return df.mapInArrow(run, schema)
 
 
+def slices(batches: Iterator, rows: int = 1024) -> Iterator:
+    """The batches in slices, so that what Python holds of one at a time stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """The words as UTF-8 bytes; bytes.split() splits on exactly the white space of ``WORD``."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

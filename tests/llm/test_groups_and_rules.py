@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -368,3 +369,38 @@ def test_small_groups_at_once_equal_one_by_one():
     assert one_by_one and all(grouped(f) == grouped(one_by_one) for f in found)
     assert max(calls) > 500  # groups meet in one call
     assert {len(r[3]) for r in rows} > {32}
+
+
+def peak_of(work):
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_many_bitmaps_of_two_lengths_are_compared_in_little_memory():
+    rng = np.random.default_rng(3)
+    short, long = ([rng.bytes(n) for _ in range(50)] for n in (512, 1024))
+    bits = pa.array(short + long, pa.binary())
+    a, b = rng.integers(0, 50, 8000), rng.integers(50, 100, 8000)
+    apart, peak = peak_of(lambda: triejoin._pairs_apart(bits, a, b))
+    assert peak < 100 << 20
+    values = [np.frombuffer(v, np.uint8) for v in bits.to_pylist()]
+    for k in range(0, 8000, 97):
+        assert apart[k] == np.bitwise_count(values[a[k]] ^ triejoin.folded(values[b[k]], 512)).sum()
+    swapped, _ = peak_of(lambda: triejoin._pairs_apart(bits, b, a))
+    assert (swapped == apart).all()
+
+
+def test_shingles_held_often_are_counted_without_copies():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << 18, 1000)) for _ in range(1000)]
+    tokens, n = np.unique(np.concatenate(sets), return_counts=True)
+    size = sum(x.nbytes for x in sets)
+    (often, held), peak = peak_of(lambda: triejoin.held_often(sets))
+    assert peak < 2.5 * size and not sets  # np.unique held four times as much
+    assert (often == tokens[n >= triejoin.LOCAL]).all() and (held == n[n >= triejoin.LOCAL]).all()
+    for few in ([], [1], [1, 1, 1], [2, 2, 2, 2]):
+        got = triejoin.held_often([np.array(few, np.int64)])
+        assert [x.tolist() for x in got] == ([[2], [4]] if len(few) == 4 else [[], []])
